@@ -137,7 +137,7 @@ def question_type_of(q: Column, words: Column) -> Column:
         bounded("who has|who have")
     )
     with_at = F.locate(" with ", q)
-    wh_at = F.locate(F.get(wh_hits, F.lit(0)), q)
+    wh_at = F.position(F.get(wh_hits, F.lit(0)), q)
     has_and = F.array_contains(words, "and")
     joined = q.rlike(rf"{bounded('both')}[^\n]*{bounded('and')}") | (
         has_and & (_count_in(words, CONSTRAINT_WORDS) >= 2)

@@ -66,19 +66,17 @@ def tokens(c: Column) -> Column:
 
 def after_first(c: Column, marker: str) -> Column:
     """Text after the first ``marker``; null when the marker is absent."""
-    at = F.locate(marker, c)
-    return F.when(at > 0, F.substr(c, at + F.lit(len(marker))))
+    return F.get(F.split(c, rf"\Q{marker}\E", 2), F.lit(1))
 
 
 def from_first(c: Column, marker: str) -> Column:
     """Text from the first ``marker`` on, marker included; '' when absent or null."""
-    at = F.locate(marker, c)
-    return F.when(at > 0, F.substr(c, at)).otherwise(F.lit(""))
+    return F.coalesce(F.regexp_extract(c, rf"(?s)(\Q{marker}\E.*)\z", 1), F.lit(""))
 
 
 def clean_caption(c: Column) -> Column:
     """Table text without the caption lead-in and without table markup."""
-    body = F.coalesce(after_first(c, CAPTION_MARK), c)
+    body = F.regexp_replace(c, rf"(?s)\A.*?\Q{CAPTION_MARK}\E", "")
     return strip(F.regexp_replace(body, r"\[TAB\]|\[SEP\]|\|", ""))
 
 

@@ -57,26 +57,29 @@ def extract_qa(df: DataFrame) -> DataFrame:
     return pairs.where((F.col("question") != "") & (F.col("answer") != ""))
 
 
-def table_with_prefix(input_seg: Column) -> Column:
-    """Raw table behind a bracketed prefix with its titles or caption, by source."""
-    raw = tx.raw_table(input_seg)
+def _wrap(c: Column, template: str) -> Column:
+    """Put a non-empty text into a template (``$1``); '' stays ''.  The text occurs once in the plan."""
+    return F.regexp_replace(c, r"(?s)\A(.+)\z", template)
 
-    def titled(*parts: tuple[str, Column]) -> Column:
-        known = [F.when(value != "", F.concat(F.lit(name), value)) for name, value in parts]
-        inner = F.concat_ws("; ", *known)
-        prefix = F.concat(F.lit("["), inner, F.lit("; ]"))
-        return (
-            F.when(inner == "", raw).when(raw == "", prefix).otherwise(F.concat_ws(" ", prefix, raw))
-        )
 
-    return dispatch(
+def _join_known(separator: str, *parts: Column) -> Column:
+    return F.array_join(F.array_remove(F.array(*parts), ""), separator)
+
+
+def table_with_prefix(input_seg: Column) -> Column:
+    """Raw table behind a bracketed prefix with its titles or caption, by source."""
+    lead = dispatch(
         [
-            (HIGHLIGHTED, titled(("Wikipedia page title:", tx.page_title(input_seg)),
-                                 ("Wikipedia section title:", tx.section_title(input_seg)))),
-            (CAPTIONED, titled(("Table caption:", tx.caption(input_seg)))),
+            (HIGHLIGHTED, _join_known(
+                "; ",
+                _wrap(tx.page_title(input_seg), "Wikipedia page title:$1"),
+                _wrap(tx.section_title(input_seg), "Wikipedia section title:$1"),
+            )),
+            (CAPTIONED, _wrap(tx.caption(input_seg), "Table caption:$1")),
         ],
-        raw,
+        F.lit(""),
     )
+    return _join_known(" ", _wrap(lead, "[$1; ]"), tx.raw_table(input_seg))
 
 
 def extract_tqa(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def concat_by_table(
     rows = df.select(
         "source", "ord", table.alias("table"), piece.alias("_piece")
     ).withColumns({
-        "_key": F.sha2(F.col("table"), 256),
+        "_key": F.coalesce(F.sha2(F.col("table"), 256), F.lit("")),  # not null: no filter is inferred
         "_block": F.floor(F.col("ord") / F.lit(block_rows)),
     })
     keys = ["source", "_key", "_block"]

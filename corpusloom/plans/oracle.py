@@ -216,10 +216,10 @@ TYPED = QA + ", " + typed_ctes("qa")
 
 PHRASES = QA + f""", tk AS (SELECT ord, {tokens('question')} AS t FROM qa), hit AS (
   SELECT ord, t, list_filter(range(1, len(t) + 1), lambda i: t[i] IN ({items(cl.QUESTION_WORDS)})) AS h FROM tk),
-  at AS (SELECT ord, t, len(h) AS n, CASE WHEN h[1] <= 3 THEN h[1] ELSE h[-1] END AS a FROM hit),
+  anchors AS (SELECT ord, t, len(h) AS n, CASE WHEN h[1] <= 3 THEN h[1] ELSE h[-1] END AS a FROM hit),
   phrases AS (SELECT ord, CASE WHEN n = 0 THEN 'other'
     WHEN a > 1 AND t[a - 1] IN ('in', 'by') THEN array_to_string(t[a - 1:a + 2], ' ')
-    ELSE array_to_string(t[a:a + 2], ' ') END AS phrase FROM at)"""
+    ELSE array_to_string(t[a:a + 2], ' ') END AS phrase FROM anchors)"""
 
 
 def cross_tab(frm: str, column: str, labels, total: str, row: str = "source") -> str:
@@ -306,7 +306,11 @@ SEGMENTS = TQA + f""", pieces AS (SELECT source, "table", ord, ord // {cat.SEGME
    any_value(all_n)::BIGINT AS num_pairs, string_agg(piece, ' ' ORDER BY ord) AS qas
  FROM pieces p JOIN placed s USING (source, "table", blk) GROUP BY 1, 2, 3"""
 
-_ENTITY = r"(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*)*|\p{Nd}+)"
+_ENTITY = (
+    r"list_filter(regexp_extract_all(text, '(^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*)*"
+    r"|\p{Nd}[\p{L}\p{N}_]*)', 2), lambda e: length(e) > 2 "
+    r"AND (regexp_full_match(e, '\p{Nd}+') OR NOT regexp_matches(e, '^\p{Nd}')))"
+)
 
 
 def topic_ctes() -> str:
@@ -363,7 +367,7 @@ _N, _E = "keywords_and_spacing", "balance_brackets"
 CHANGING_RULES = (
     (_B, _L, _U, _R, _N), (_B, _P, _U, _R, _N), (_B, _U, _R, _N), (_B, _P, _U, _R, _N), (_B, _U, _R, _N),
     (_B, _S, _C, _U, _R, _N, _E), (_B, _U, _R, _N), (_B, _U, _R, _N), (_B, _S, _T, _A, _U, _R, _N),
-    (_B, _U, _R, _N), (_B, _S, _U, _R, _N, _E), (_B, _U, _R, _N), (_B, _U, _R, _N, _E), (_R,), (_B, _U, _R, _N),
+    (_B, _U, _R, _N), (_B, _S, _U, _R, _N, _E), (_B, _U, _R, _N), (_B, _U, _N, _E), (_R, _N), (_B, _U, _R, _N),
     (_E,),
 )
 ALL_RULES = (_B, _P, _L, _S, _T, _C, _A, _U, _R, _N, _E)
@@ -521,10 +525,10 @@ ORACLES: dict[str, str] = {
         sum(strlen(json_object('ord', doc_id, 'lang', lang, 'text', text)::VARCHAR) + 5)::BIGINT AS num_bytes
       FROM documents GROUP BY ROLLUP (source)""",
     "document_entities": f"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS entities
-      FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '(^|{NW}){_ENTITY}', 2), lambda e: length(e) > 2) AS l FROM documents)""",
+      FROM (SELECT doc_id, {_ENTITY} AS l FROM documents)""",
     "entity_topics": f"""WITH RECURSIVE de AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS es FROM (
-        SELECT doc_id, list_filter(regexp_extract_all(text, '(^|{NW}){_ENTITY}', 2), lambda e: length(e) > 2) AS l FROM documents)),
-      be AS (SELECT item_id, unnest(list_filter(regexp_extract_all(text, '(^|{NW}){_ENTITY}', 2), lambda e: length(e) > 2)) AS entity FROM benchmark),
+        SELECT doc_id, {_ENTITY} AS l FROM documents)),
+      be AS (SELECT item_id, unnest({_ENTITY}) AS entity FROM benchmark),
       titles AS (SELECT entity, 'item ' || min(item_id) AS title FROM be GROUP BY entity),
       hits AS (SELECT doc_id, title, min(pos) AS pos FROM (
         SELECT doc_id, unnest(es) AS entity, unnest(range(len(es))) AS pos FROM de) JOIN titles USING (entity) GROUP BY ALL),
