@@ -10,12 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE, WORD_END, WORD_START, bounded, strip, tokens
+from .text import SPACE, WORD, WORD_END, bounded, strip, tokens
 
 # Words that open a question, and prepositions kept in front of them.
 QUESTION_WORDS = ("what", "who", "how", "which", "when", "where", "does", "did", "is", "are")
 LEADING_PREPOSITIONS = ("in", "by")
 
+# Fixed value: the only skill cue that is a pattern; all others are plain text.
+WHERE_IS = "where [^\n]* is "
 # Reasoning skills in report order of precedence, with their cue patterns.  Blanks at the
 # edges of a cue are significant.
 SKILL_CUES = {
@@ -34,7 +36,7 @@ SKILL_CUES = {
     "Filtering time": (" before ", " after ", " earlier than ", " later than ", "since ", "until ", "date",
                        " year of ", " in what year", " year was", " on which date", " what date",
                        " on what date", "date of", "date did", "when was"),
-    "Filtering entity": (" whose ", " with ", "where [^\n]* is "),
+    "Filtering entity": (" whose ", " with ", WHERE_IS),
     "Average": (" sum of ", " average of ", "avg of", " total of ", "average ", "mean "),
     "Difference": (" how many years", " how long", " lived", " years old", "difference in years",
                    " difference between", " how many more", " how many less", " how much more",
@@ -46,6 +48,7 @@ MAX_SKILLS = 3
 
 # Answer types in order of precedence with their word lists.
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+_MONTH_FIRST = "[jfmasondJFMASOND]"
 ANSWER_WORDS = {
     "Location": "road|avenue|street|city|state|country|river|mountain|park|lake|building|airport|station|"
                 "square|valley|island|region|area",
@@ -53,7 +56,6 @@ ANSWER_WORDS = {
     "Event": "war|battle|conference|summit|meeting|ceremony|game|match|tournament",
     "Artwork": "song|album|book|movie|film|novel|painting|sculpture|opera",
     "Adjective": "best|worst|largest|smallest|most|least|first|second|last|only",
-    "Other proper noun": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+",
     "Common noun": "musician|writer|teacher|city|dog|car|food|instrument",
 }
 UNKNOWN_TYPE = "Unknown"
@@ -82,8 +84,13 @@ def _any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _count_in(words: Column, vocabulary) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
+def _mentions(q: Column, cues) -> Column:
+    """Whether any cue occurs; plain cues are byte searches, several times cheaper than a regex."""
+    return _any_of(*[q.rlike(cue) if cue == WHERE_IS else q.contains(cue) for cue in cues])
+
+
+def _words(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def question_phrase_of(words: Column) -> Column:
@@ -108,70 +115,79 @@ def question_phrase(question: Column) -> Column:
     return question_phrase_of(tokens(question))
 
 
-def answer_type(answer: Column) -> Column:
-    """Type of the answer by the first matching rule."""
-    a = F.coalesce(answer, F.lit(""))
-
+def answer_type_of(answer: Column, words: Column) -> Column:
+    """Answer type given the answer and its tokens."""
     def matches(body: str) -> Column:
-        return a.rlike(f"(?iu){body}")
+        return answer.rlike(f"(?iu){body}")
 
     day = rf"{DIGIT}{{1,2}} (?:{_MONTHS})"
-    date = "|".join((
-        bounded(rf"{day} {DIGIT}{{4}}"),
-        bounded(rf"{DIGIT}{{4}}|{day}|{DIGIT}{{1,2}}/{DIGIT}{{1,2}}/{DIGIT}{{2,4}}"),
-        bounded(rf"(?:{_MONTHS}) {DIGIT}{{1,2}}"),
+    dates = "|".join((
+        bounded(rf"{DIGIT}{{4}}|{day}(?: {DIGIT}{{4}})?|{DIGIT}{{1,2}}/{DIGIT}{{1,2}}/{DIGIT}{{2,4}}", DIGIT),
+        bounded(rf"(?:{_MONTHS}) {DIGIT}{{1,2}}", _MONTH_FIRST),
     ))
-    # Case is ignored throughout, so two adjacent alphabetic words already make a Person.
-    out = F.when(matches(date), "Date").when(matches(bounded("[A-Z][a-z]+ [A-Z][a-z]+")), "Person")
-    for label, body in ANSWER_WORDS.items():
-        out = out.when(matches(bounded(body)), label)
+    # Case is ignored throughout, so two adjacent alphabetic words already make a Person, and a rule for
+    # longer proper nouns could never be reached.
+    out = F.when(matches(dates), "Date").when(matches(bounded("[A-Z][a-z]+ [A-Z][a-z]+")), "Person")
+    for label, listed in ANSWER_WORDS.items():
+        out = out.when(F.arrays_overlap(words, _words(listed.split("|"))), label)
     # Sign, separators and unit are optional in a number, so one digit decides.
-    return out.when(a.rlike(DIGIT), "Number").otherwise(F.lit(UNKNOWN_TYPE))
+    return out.when(answer.rlike(DIGIT), "Number").otherwise(F.lit(UNKNOWN_TYPE))
+
+
+def answer_type(answer: Column) -> Column:
+    """Type of the answer by the first matching rule."""
+    a = F.coalesce(answer, F.lit(""))
+    return answer_type_of(a, tokens(a))
 
 
 def question_type_of(q: Column, words: Column) -> Column:
     """Structure of a lower-cased question given its tokens."""
-    wh_hits = F.filter(words, lambda w: w.isin(*WH_WORDS))
+    wh_hits = F.array_intersect(words, _words(WH_WORDS))  # in question order
     has_wh = F.size(wh_hits) > 0
-    nested = F.arrays_overlap(words, F.array(*map(F.lit, NESTING_WORDS))) | q.rlike(
-        bounded("who has|who have")
+    nested = F.arrays_overlap(words, _words(NESTING_WORDS)) | (
+        q.contains("who ha") & q.rlike(bounded("who has|who have", "w"))
     )
     with_at = F.locate(" with ", q)
     wh_at = F.position(F.get(wh_hits, F.lit(0)), q)
     has_and = F.array_contains(words, "and")
-    joined = q.rlike(rf"{bounded('both')}[^\n]*{bounded('and')}") | (
-        has_and & (_count_in(words, CONSTRAINT_WORDS) >= 2)
+    constraints = F.array_intersect(words, _words(CONSTRAINT_WORDS))
+    only = F.get(constraints, F.lit(0))
+    several_constraints = (F.size(constraints) >= 2) | (
+        (F.size(constraints) == 1) & (F.size(words) - F.size(F.array_remove(words, only)) >= 2)
     )
-    made = q.rlike("|".join(MAKER_CUES)) & q.rlike("|".join(KIND_CUES))
-    years = F.size(F.filter(words, lambda w: w.rlike(rf"\A{DIGIT}{{4}}\z")))
+    joined = (has_and & several_constraints) | (
+        q.contains("both") & q.rlike(rf"{bounded('both', 'b')}[^\n]*{bounded('and', 'a')}")
+    )
+    made = _mentions(q, MAKER_CUES) & _mentions(q, KIND_CUES)
+    # four digits that are a whole token; the boundary before them is tested last
+    years = F.regexp_count(q, F.lit(rf"{DIGIT}{{4}}{WORD_END}(?<!{WORD}{DIGIT}{{4}})"))
     filters = (
-        (years > 0).cast("int")
-        + q.rlike("|".join(SPORT_CUES)).cast("int")
-        + q.rlike("|".join(MATCH_CUES)).cast("int")
+        (years > 0).cast("int") + _mentions(q, SPORT_CUES).cast("int") + _mentions(q, MATCH_CUES).cast("int")
     )
-    shape = (
+    several = (filters >= 2) & (has_and | (years >= 2))
+    fallback = F.when(several, "Intersection").otherwise("Simple")
+    return (
         F.when(has_wh & nested & (F.size(words) > MIN_NESTED_TOKENS), "Composition")
         .when(has_wh & (with_at > 0),
-              F.when(with_at - wh_at > MIN_WITH_DISTANCE, "Composition").otherwise("Simple"))
+              F.when(with_at - wh_at > MIN_WITH_DISTANCE, "Composition").otherwise(fallback))
         .when(joined | made, "Intersection")
-        .otherwise("Simple")
+        .otherwise(fallback)
     )
-    several = (filters >= 2) & (has_and | (years >= 2))
-    return F.when((shape == "Simple") & several, "Intersection").otherwise(shape)
 
 
 def skills_of(q: Column, a_type: Column) -> Column:
     """Up to three skills of a lower-cased question, in precedence order."""
-    found = [F.when(q.rlike("|".join(cues)), F.lit(skill)) for skill, cues in SKILL_CUES.items()]
+    found = [F.when(_mentions(q, cues), F.lit(skill)) for skill, cues in SKILL_CUES.items()]
     counting = _any_of(
         q.rlike(rf"\A{SPACE}*how many"), q.contains(" how many "), q.contains(" number of ")
     )
     found.append(F.when(counting, F.lit(COUNTING)))
-    hits = F.slice(F.array_compact(F.array(*found)), 1, MAX_SKILLS)
     fallback = (
         F.when(a_type == "Number", COUNTING).when(a_type == "Date", "Filtering time").otherwise(NO_SKILL)
     )
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(fallback))
+    # The fallback stands last and is cut off by the slice or dropped when a skill was found.
+    hits = F.slice(F.array_compact(F.array(*found, fallback)), 1, MAX_SKILLS + 1)
+    return F.slice(hits, 1, F.least(F.greatest(F.size(hits) - 1, F.lit(1)), F.lit(MAX_SKILLS)))
 
 
 def question_type(question: Column) -> Column:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# letter/digit/underscore class, white space class, ASCII punctuation.
+# letter/digit/underscore class, white space class (the information separators count as white
+# space here), ASCII punctuation.
 WORD = r"[\p{L}\p{N}_]"
-SPACE = (
-    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+SPACE = r"[\p{IsWhite_Space}\x{1c}-\x{1f}]"
+NOT_SPACE = r"[^\p{IsWhite_Space}\x{1c}-\x{1f}]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Markers of the linearised table format and of the wrapped questions.
@@ -30,14 +29,18 @@ WORD_START = f"(?<!{WORD})"
 WORD_END = f"(?!{WORD})"
 
 
-def bounded(body: str) -> str:
-    """Regex for ``body`` standing between Unicode word boundaries."""
-    return f"{WORD_START}(?:{body}){WORD_END}"
+def bounded(body: str, first: str = "") -> str:
+    """Regex for ``body`` standing between Unicode word boundaries.
+
+    ``first`` is a class of possible first characters: testing it before the boundary makes long texts cheap.
+    """
+    ahead = f"(?={first})" if first else ""
+    return f"{ahead}{WORD_START}(?:{body}){WORD_END}"
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space (``trim`` removes only U+0020)."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_extract(c, rf"(?s)\A{SPACE}*+(.*{NOT_SPACE})?", 1)
 
 
 def collapse_ws(c: Column) -> Column:

@@ -76,11 +76,10 @@ def typed_questions(df: DataFrame) -> DataFrame:
 
     Tokens and the lower-cased text are computed once per row and shared by all rules.
     """
+    answer = F.coalesce(F.col("answer"), F.lit(""))
     prepared = df.withColumns({
-        "_q": F.lower("question"),
-        "_words": tx.tokens(F.col("question")),
-        "answer_type": cl.answer_type(F.col("answer")),
-    })
+        "_q": F.lower("question"), "_words": tx.tokens(F.col("question")), "_a_words": tx.tokens(answer),
+    }).withColumn("answer_type", cl.answer_type_of(answer, F.col("_a_words")))
     return prepared.select(
         *df.columns,
         cl.question_type_of(F.col("_q"), F.col("_words")).alias("question_type"),

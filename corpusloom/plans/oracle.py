@@ -7,12 +7,16 @@ spelled as consuming character classes; single words are tested by token members
 from __future__ import annotations
 
 from ..functions import classify as cl
-from ..functions.text import CAPTION_MARK, HIGHLIGHT_MARK, PUNCTUATION, QUESTION_MARK, SPACE
+from ..functions.text import CAPTION_MARK, HIGHLIGHT_MARK, PUNCTUATION, QUESTION_MARK
 from ..operators.extract import ANSWER_KEYS
 from ..operators.topics import LABELS
 from . import catalog as cat
 from . import views as v
 
+SPACE = (
+    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 W, NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 
 
