@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import cosine
 from ..operators.topics import LABELS, label_scores
+from ..sources.readers import spread_small
 
 SOURCES = ("fetaqa_train", "fetaqa_test", "hitab_test", "hitab_train", "wikisql_test", "wikitq_test", "hybridqa_eval")
 
@@ -39,8 +40,13 @@ ANSWER_LEADS = (
 PLAIN_ANSWERS = (0, 1, 10)
 
 
+# Tables of long texts are spread over the cores when they come as one small file.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def _pick(values, index: Column) -> Column:

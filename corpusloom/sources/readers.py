@@ -97,6 +97,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("value") != "")
 
 
+def spread_small(df: DataFrame, key: str, unit_bytes: int = 128 << 20) -> DataFrame:
+    """Spread an input with fewer file blocks than cores over all cores, by row key.
+
+    A small Parquet file is one row group and so one task, however long its texts are.  The size is the scan
+    estimate of the plan (no job); inputs with enough blocks are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * unit_bytes else df
+
+
 def to_parquet(df: DataFrame, path: str) -> None:
     """Convert a corpus once to Parquet, one folder per source."""
     df.write.mode("overwrite").partitionBy("source").parquet(path)
