@@ -57,6 +57,11 @@ def sanitize(c: Column) -> Column:
     return collapse_ws(drop_quotes(c))
 
 
+def has_text(c: Column) -> Column:
+    """Whether :func:`sanitize` leaves anything, decided by the first telling character."""
+    return F.coalesce(c.rlike(r'[^"\p{IsWhite_Space}\x{1c}-\x{1f}]'), F.lit(False))
+
+
 def strip_punct(c: Column) -> Column:
     """Delete the 32 ASCII punctuation characters."""
     return F.translate(c, PUNCTUATION, "")

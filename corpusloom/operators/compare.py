@@ -53,7 +53,9 @@ def overlap(a: str = "topics_a", b: str = "topics_b") -> Column:
 def pearson(x: Column, y: Column, strict: bool = False) -> Column:
     """Aggregate: correlation over complete pairs; ``strict`` gives null when any pair is incomplete."""
     complete = x.isNotNull() & y.isNotNull()
-    value = F.corr(F.when(complete, x), F.when(complete, y))
+    x, y = F.when(complete, x), F.when(complete, y)
+    # not corr(): that fails in ANSI mode when one side is constant
+    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return F.when(F.bool_and(complete), value) if strict else value
 
 
@@ -66,18 +68,22 @@ def score_pairs(df: DataFrame, a: str = "topics_a", b: str = "topics_b") -> Data
 def spearman(pairs: DataFrame, x: str = "score_a", y: str = "score_b", name: str = "spearman") -> DataFrame:
     """Rank correlation with average ranks for ties.
 
-    Distinct values are ranked in blocks and joined back to the distinct value pairs, so neither ranking
-    nor joining moves a frequent value as more than a few rows.
+    Distinct values are ranked in blocks.  Ranks of ``y`` are looked up for the distinct value pairs, summed
+    per ``x``, and only then meet the ranks of ``x``, so a frequent ``x`` is one row in the second join.
     """
-    counts = pairs.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counts.join(average_ranks(pairs, x, "_rx"), x).join(average_ranks(pairs, y, "_ry"), y)
     n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
+    per_x = (
+        pairs.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
+        .join(average_ranks(pairs, y, "_ry"), y)
+        .groupBy(x).agg(
+            F.sum(n).alias("_n"), F.sum(n * ry).alias("_sum_y"), F.sum(n * ry * ry).alias("_sum_yy")
+        )
+    )
     total = F.sum(n)
-    mean_x = (total + 1) / 2.0  # the mean of 1..n, with or without ties
-    sums = ranked.agg(
+    sums = per_x.join(average_ranks(pairs, x, "_rx"), x).agg(
         total.alias("n"),
-        F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"),
-        mean_x.alias("m"),
+        F.sum(rx * F.col("_sum_y")).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum("_sum_yy").alias("yy"),
+        ((total + 1) / 2.0).alias("m"),  # the mean of 1..n, with or without ties
     )
     centred = F.col("n") * F.col("m") * F.col("m")
     return sums.select(F.try_divide(

@@ -84,13 +84,13 @@ def table_with_prefix(input_seg: Column) -> Column:
 
 def extract_tqa(df: DataFrame) -> DataFrame:
     """Rows ``question, answer, table`` with normalised text and the prefixed raw table."""
-    rows = df.select(
+    question = unwrap_question(F.col("question"))
+    return df.where(tx.has_text(question) & tx.has_text(F.col("output"))).select(
         "source", "ord",
-        tx.sanitize(unwrap_question(F.col("question"))).alias("question"),
+        tx.sanitize(question).alias("question"),
         tx.sanitize(F.col("output")).alias("answer"),
         table_with_prefix(F.col("input_seg")).alias("table"),
     )
-    return rows.where((F.col("question") != "") & (F.col("answer") != ""))
 
 
 def answer_of(output: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from .extract import answer_text
+from .joins import settle_small
 
 SEGMENT_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
@@ -46,8 +47,9 @@ def concat_by_table(
     ).where(F.col("_all_bytes") > segment_bytes).drop("_all_bytes")
     pieces = F.array_sort(F.collect_list(F.struct("ord", "_piece")))
     full = F.filter(F.transform(pieces, lambda p: p["_piece"]), lambda p: p != "")
+    # Usually no table is oversized: then this is an empty broadcast and the text is shuffled only once.
     return (
-        rows.join(oversized, keys, "left")
+        rows.join(settle_small(oversized), keys, "left")
         .groupBy("source", "_key", F.coalesce("_segment", F.lit(0)).alias("segment"))
         .agg(
             F.any_value("table").alias("table"),
@@ -82,14 +84,14 @@ def group_qa_clean(df: DataFrame, compat: bool = False, **limits: int) -> DataFr
     ``df`` holds raw examples whose ``question`` is already taken out of its wrapper; rows without table
     text or question are left out.
     """
-    kept = df.select(
-        "source", "ord",
-        tx.clean_segment(F.col("input_seg"), 2, compat).alias("table"),
-        tx.sanitize(F.col("question")).alias("question"),
-        answer_text(df, "output").alias("answer"),
-    ).where((F.col("table") != "") & (F.col("question") != ""))
-    piece = tx.collapse_ws(tx.strip_punct(F.concat_ws(" ", "question", tx.collapse_ws(F.col("answer")))))
-    return concat_by_table(kept, F.col("table"), piece, **limits).withColumnRenamed("content", "qas")
+    asked = df.where(tx.has_text(F.col("question")))
+    piece = tx.collapse_ws(tx.strip_punct(F.concat_ws(
+        " ", tx.drop_quotes(F.col("question")), answer_text(df, "output")
+    )))
+    table = tx.clean_segment(F.col("input_seg"), 2, compat)
+    # The empty table is dropped after grouping, so the costly cleaning is not repeated inside a filter.
+    grouped = concat_by_table(asked, table, piece, **limits).where(F.col("table") != "")
+    return grouped.withColumnRenamed("content", "qas")
 
 
 def group_size_stats(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import SPACE, WORD, WORD_END, WORD_START, bounded, collapse_ws, strip
+from ..functions.text import SPACE, WORD, WORD_END, WORD_START, bounded, strip
 
 Rule = tuple[str, Callable[[Column], Column]]
 INLINE_SPACE = r"[^\S\n]*"
@@ -68,7 +68,7 @@ alias_variables = _sub(rf"(?i){WORD_START}AS\s+([A-Za-z_]{WORD}*)", "AS ?$1")
 upper_where = _sub(f"(?i){bounded('where')}", "WHERE")
 
 keywords_and_spacing = _then(
-    collapse_ws,
+    lambda c: F.trim(F.regexp_replace(c, f"{SPACE}+", " ")),
     _sub(f"(?i){bounded('select')}", "SELECT"),
     _sub(f"(?i){bounded('ask')}", "ASK"),
     _sub(rf"(?i){bounded(rf'order{SPACE}+by')}", "ORDER BY"),

@@ -14,7 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .joins import settle_small
+
 SLICE_BYTES = 20_000_000
+BROADCAST_CUTS = 5_000_000  # 8 bytes each
 BLOCK_ROWS = 1_000_000
 
 
@@ -117,9 +120,12 @@ def slice_by_size(
     """Add the 1-based ``part`` of each row: greedy slices of at most ``limit`` bytes per source.
 
     A part is closed when the next row would pass the limit; a row larger than the limit is a part of its
-    own.  Wide rows are only looked up by (source, block), never moved for the fold.
+    own.  The cuts are settled first (one narrow pass); as long as they are few enough to be broadcast, the
+    wide rows are not shuffled at all.
     """
-    starts = slice_starts(df, size, limit, by, order, block_rows)
+    starts = settle_small(
+        slice_starts(df, size, limit, by, order, block_rows), F.size("_starts") + F.lit(1), limit=BROADCAST_CUTS
+    )
     at = F.col(order).cast("bigint")
     opened = F.size(F.filter("_starts", lambda s: s <= at))
     return (

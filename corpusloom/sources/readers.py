@@ -29,7 +29,7 @@ def read_examples(spark: SparkSession, path: str, fields: str = EXAMPLE_FIELDS)
     JSON lines (:func:`read_example_lines`).
     """
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
         .select(dataset_name(file_name()).alias("source"), "value")
         .where(F.col("value").rlike(rf"\A\x{{feff}}?{tx.SPACE}*\["))
     )
@@ -53,10 +53,11 @@ def read_example_lines(
     """
     corrupt = "_corrupt"
     extra = f", {ord_col} bigint" if ord_col else ""
-    raw = (
-        spark.read.schema(f"{fields}{extra}, {corrupt} string")
-        .option("columnNameOfCorruptRecord", corrupt).option("mode", "PERMISSIVE").json(path)
-        .withColumn("source", dataset_name(file_name()))
+    record = F.from_json(
+        "value", f"{fields}{extra}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt}
+    )
+    raw = spark.read.text(path).select(dataset_name(file_name()).alias("source"), record.alias("_r")).select(
+        "source", "_r.*"
     )
     order = F.col(ord_col) if ord_col else F.monotonically_increasing_id()
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
@@ -69,16 +70,18 @@ def read_table(
     schema: T.StructType | str,
     on_bad: str = "drop",
     escape: str = '"',
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV files with a header as ``source, <schema>``.
 
     ``on_bad``: ``drop`` leaves out rows that do not fit the schema, ``keep`` fills their missing fields with
     null, ``fail`` stops the job.  Columns are matched by position; the header is checked against the schema.
+    With ``multi_line=False`` (no line breaks inside fields) large files are split over many tasks.
     """
     modes = {"drop": "DROPMALFORMED", "keep": "PERMISSIVE", "fail": "FAILFAST"}
     frame = (
         spark.read.schema(schema).option("header", True).option("mode", modes[on_bad])
-        .option("multiLine", True).option("quote", '"').option("escape", escape)
+        .option("multiLine", multi_line).option("quote", '"').option("escape", escape)
         .option("pathGlobFilter", "*.csv").csv(path)
     )
     return frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in frame.columns])

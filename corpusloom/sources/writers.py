@@ -6,26 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.slicing import SLICE_BYTES, slice_by_size
 
-# Quoting styles of the CSV files.
-_CSV_STYLES = {
-    "minimal": {"quote": '"', "escape": '"'},
-    "none": {"quote": "", "escape": "\\"},
-}
-
-
 def write_by_source(df: DataFrame, path: str, fmt: str = "parquet", style: str = "minimal", by: str = "source") -> None:
     """One folder per source.  Parquet is the lossless form; CSV is for exchange.
 
-    A source is spread over as many files as it has input partitions, so a hot source is not one task.  In
-    style ``none`` (no quotes) separators and line breaks inside a field are escaped with a backslash.
+    A source is spread over as many files as it has input partitions, so a hot source is not one task.  CSV
+    style ``minimal`` has a header and quotes fields where needed; style ``none`` never quotes: backslashes,
+    separators and line breaks inside a field stand behind a backslash, and there is no header line.
     """
-    writer = df
     if fmt == "csv" and style == "none":
-        texts = [f.name for f in df.schema if f.dataType.simpleString() == "string" and f.name != by]
-        writer = df.withColumns({c: F.regexp_replace(c, r"([\\,\r\n])", r"\\$1") for c in texts})
-    out = writer.write.mode("overwrite").partitionBy(by)
+        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c != by]
+        escaped = [F.regexp_replace(f, r"([\\,\r\n])", r"\\$1") for f in fields]
+        line = F.concat_ws(",", *escaped).alias("value")
+        df.select(by, line).write.mode("overwrite").partitionBy(by).text(path)
+        return
+    out = df.write.mode("overwrite").partitionBy(by)
     if fmt == "csv":
-        out.options(header=True, **_CSV_STYLES[style]).csv(path)
+        out.options(header=True, quote='"', escape='"').csv(path)
     else:
         out.format(fmt).save(path)
 
