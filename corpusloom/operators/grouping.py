@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from .extract import answer_text
 from .joins import settle_small
+from .ordering import block_of
 
 SEGMENT_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
@@ -31,7 +32,7 @@ def concat_by_table(
         "source", "ord", table.alias("table"), piece.alias("_piece")
     ).withColumns({
         "_key": F.coalesce(F.sha2(F.col("table"), 256), F.lit("")),  # not null: no filter is inferred
-        "_block": F.floor(F.col("ord") / F.lit(block_rows)),
+        "_block": block_of(F.col("ord"), block_rows),
     })
     keys = ["source", "_key", "_block"]
     one_table = Window.partitionBy("source", "_key")
@@ -41,7 +42,7 @@ def concat_by_table(
     )
     oversized = sizes.select(
         *keys,
-        F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / F.lit(segment_bytes)).alias("_segment"),
+        block_of(F.coalesce(F.sum("_bytes").over(before), F.lit(0)), segment_bytes).alias("_segment"),
         F.sum("_pairs").over(one_table).alias("_all_pairs"),
         F.sum("_bytes").over(one_table).alias("_all_bytes"),
     ).where(F.col("_all_bytes") > segment_bytes).drop("_all_bytes")

@@ -16,6 +16,11 @@ VALUE_BLOCKS = 1_024
 SKETCH_ACCURACY = 10_000
 
 
+def block_of(position: Column, size: int) -> Column:
+    """Whole-number block of a position (integer division, exact for any 64-bit value)."""
+    return F.call_function("div", position, F.lit(size))
+
+
 def running_index(
     df: DataFrame, by: Sequence[str], order: str, name: str = "idx", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -25,7 +30,7 @@ def running_index(
     of it, so no task orders more rows than that for one key.
     """
     keys = [*by, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
+    blocked = df.withColumn("_block", block_of(F.col(order), block_rows))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .joins import settle_small
+from .ordering import block_of
 
 SLICE_BYTES = 20_000_000
 BROADCAST_CUTS = 5_000_000  # 8 bytes each
@@ -55,7 +56,7 @@ def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, b
     key_type = df.schema[by].dataType
     rows = df.select(
         by, F.col(order).cast("bigint").alias("_ord"), size.cast("bigint").alias("_size")
-    ).withColumn("_block", F.floor(F.col("_ord") / F.lit(block_rows)))
+    ).withColumn("_block", block_of(F.col("_ord"), block_rows))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ord")
@@ -129,7 +130,7 @@ def slice_by_size(
     at = F.col(order).cast("bigint")
     opened = F.size(F.filter("_starts", lambda s: s <= at))
     return (
-        df.withColumn("_block", F.floor(at / F.lit(block_rows)))
+        df.withColumn("_block", block_of(at, block_rows))
         .join(starts, [by, "_block"])
         .withColumn("part", F.col("_part") + opened)
         .drop("_block", "_part", "_starts")

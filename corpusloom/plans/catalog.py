@@ -297,6 +297,29 @@ def topic_pivot(spark, sf):
     return crosstab.pivot_counts(rows, "source", "topic", topics.LABELS)
 
 
+def letter_scorer():
+    """Stand-in for a model: share of one letter per label in the whole text."""
+    def score(texts, labels):
+        letters = "abcdefghijklmnopqrstuvwxyz"[: len(labels)]
+        return [[t.lower().count(c) / max(len(t), 1) for c in letters] for t in texts]
+    return score
+
+
+def letter_embedder():
+    """Stand-in for an embedding model: letter counts of the whole text."""
+    def encode(texts):
+        return [[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+    return encode
+
+
+@query
+def plugged_topics(spark, sf):
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    scored = topics.score_topics(docs, "text", scorer=letter_scorer)
+    flat = topics.flatten_top(scored.withColumn("topics", topics.top_labels(F.col("scores"))))
+    return flat.drop("text", "scores", "topics")
+
+
 @query
 def document_entities(spark, sf):
     found = topics.entities(topics.tag_entities(F.col("text")))
@@ -444,6 +467,19 @@ def relatedness_groups(spark, sf):
     return scored.withColumn("similarity_score", _six("similarity_score"))
 
 
+@query
+def relatedness_embedded(spark, sf):
+    """Question and answer texts compared through a plugged embedder."""
+    pairs = v.qa(spark, sf).select("source", "ord", "question", "answer")
+    scored = relatedness.embedding_relatedness(pairs, F.col("question"), F.col("answer"), letter_embedder)
+    return scored.select("source", "ord", _six("similarity_score").alias("similarity_score"))
+
+
+@query
+def similarity_sorted(spark, sf):
+    return relatedness.sort_within(v.similarities(spark, sf))
+
+
 @query
 def similarity_summary(spark, sf):
     return _six_stats(

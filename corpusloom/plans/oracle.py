@@ -528,6 +528,18 @@ ORACLES: dict[str, str] = {
     "slice_totals": """SELECT coalesce(source, 'ALL') AS source, count(*) AS num_rows,
         sum(strlen(json_object('ord', doc_id, 'lang', lang, 'text', text)::VARCHAR) + 5)::BIGINT AS num_bytes
       FROM documents GROUP BY ROLLUP (source)""",
+    "plugged_topics": f"""WITH shares AS (SELECT doc_id, unnest(range(1, 15)) AS i, unnest([{', '.join(
+          f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE / greatest(length(t), 1)" for c in 'abcdefghijklmn')}]) AS score
+        FROM (SELECT doc_id, lower(text) AS t FROM documents)),
+      r AS (SELECT doc_id, ([{items(LABELS)}])[i] AS label, round(score, 4) AS score,
+        row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rk FROM shares)
+      SELECT doc_id, {top_columns('r')} FROM r GROUP BY doc_id""",
+    "relatedness_embedded": f"""WITH {QA}, e AS (SELECT source, ord, {', '.join(
+          "[" + ', '.join(f"(length({x}) - length(replace({x}, '{c}', '')))::DOUBLE" for c in 'abcdefghijklmnopqrstuvwxyz')
+          + f"] AS {n}" for x, n in (('question', 'a'), ('answer', 'b')))} FROM qa)
+      SELECT source, ord, round(list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0), 6)
+        AS similarity_score FROM e""",
+    "similarity_sorted": f"WITH {SIM} SELECT * FROM sim",
     "document_entities": f"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS entities
       FROM (SELECT doc_id, {_ENTITY} AS l FROM documents)""",
     "entity_topics": f"""WITH RECURSIVE de AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS es FROM (

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "corpusloom", **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # list aggregates over many small groups: hash up to this many groups before sorting the input
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
         # call-site capture per column expression dominates planning of rule-heavy projections
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
