@@ -8,6 +8,7 @@ and only then order rows inside a block.  Results are exact; the blocks only bal
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,25 +45,29 @@ def running_index(
     )
 
 
-def _block_of(x: Column, cuts: Column, n_cuts: int) -> Column:
-    """Number of cut points below ``x`` by binary search over the sorted array ``cuts``."""
-    steps = [1 << s for s in reversed(range(n_cuts.bit_length()))]
-    found = F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) < x, at + step).otherwise(at),
-    )
-    return F.coalesce(found, F.lit(0))  # never null, so no null filter is pushed below the aggregate
+def _add_value_blocks(rows: DataFrame, x: str, cuts: Column, n_cuts: int) -> DataFrame:
+    """Add ``block``, the number of cut points below ``x``, by binary search over a sorted array.
+
+    One projection per step keeps the search in generated code; a higher-order function would be
+    interpreted row by row.
+    """
+    out = rows.withColumns({"_cuts": cuts, "block": F.lit(0)})
+    for shift in reversed(range(n_cuts.bit_length())):
+        step = 1 << shift
+        beyond = F.get("_cuts", F.col("block") + F.lit(step - 1)) < F.col(x)
+        out = out.withColumn("block", F.col("block") + F.when(beyond, step).otherwise(0))
+    return out.drop("_cuts")
 
 
 def rank_table(
-    df: DataFrame, by: Sequence[str], x: str, blocks: int = VALUE_BLOCKS
+    df: DataFrame, by: Sequence[str], x: str, blocks: int = VALUE_BLOCKS, quantiles: Sequence[float] = ()
 ) -> DataFrame:
     """Distinct values of ``x`` per key with their frequency and the rows below them.
 
     Returns ``by..., x, freq, below, total, block``; null and NaN values are left out.  Cut points come
     from a sketch over the whole column (one row, a scalar subquery); equal values are merged before the
-    value shuffle, so a value that holds most rows costs one row per map task.
+    value shuffle, so a value that holds most rows costs one row per map task.  With ``quantiles`` only the
+    blocks that hold their ranks are ordered and returned.
     """
     by = list(by)
     value = F.col(x).cast("double")
@@ -71,23 +76,27 @@ def rank_table(
     cuts = rows.agg(F.percentile_approx(x, points, SKETCH_ACCURACY).alias("cuts")).scalar()
     keys = [*by, "block"]
     freq = (
-        rows.withColumn("_cuts", cuts)
-        .withColumn("block", _block_of(F.col(x), F.col("_cuts"), blocks - 1))
+        _add_value_blocks(rows, x, cuts, blocks - 1)
         .groupBy(*keys, x).agg(F.count(F.lit(1)).alias("freq"))
     )
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = freq.groupBy(*keys).agg(F.sum("freq").alias("_rows")).select(
         *keys,
+        "_rows",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(whole).alias("total"),
     )
+    placed = freq.join(offsets, keys)
+    if quantiles:
+        last = F.col("_offset") + F.col("_rows") - 1
+        placed = placed.where(reduce(lambda a, b: a | b, [
+            (F.col("_offset") <= F.ceil((F.col("total") - 1) * q)) & (F.floor((F.col("total") - 1) * q) <= last)
+            for q in map(float, quantiles)
+        ]))
     inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        freq.withColumn("_inside", F.coalesce(F.sum("freq").over(inside), F.lit(0)))
-        .join(offsets, keys)
-        .select(*by, x, "freq", (F.col("_offset") + F.col("_inside")).alias("below"), "total", "block")
-    )
+    below = F.col("_offset") + F.coalesce(F.sum("freq").over(inside), F.lit(0))
+    return placed.select(*by, x, "freq", below.alias("below"), "total", "block")
 
 
 def quantile_aggregates(x: str, quantiles: dict[str, float]) -> list[Column]:
@@ -110,7 +119,8 @@ def exact_quantiles(
     df: DataFrame, by: Sequence[str], x: str, quantiles: dict[str, float], blocks: int = VALUE_BLOCKS
 ) -> DataFrame:
     """Exact quantiles of ``x`` per key with linear interpolation, without gathering a key in one task."""
-    return rank_table(df, by, x, blocks).groupBy(*by).agg(*quantile_aggregates(x, quantiles))
+    ranks = rank_table(df, by, x, blocks, list(quantiles.values()))
+    return ranks.groupBy(*by).agg(*quantile_aggregates(x, quantiles))
 
 
 def average_ranks(df: DataFrame, x: str, name: str, blocks: int = VALUE_BLOCKS) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from .ordering import exact_quantiles, quantile_aggregates, rank_table, running_index
+from .joins import settle_small
+from .ordering import exact_quantiles, running_index
 
 ALL_FILES = "ALL_FILES"
 LOWEST = 100
@@ -94,22 +95,22 @@ def score_summary(df: DataFrame, by: str = "source", x: str = "similarity_score"
 
 
 def box_stats(df: DataFrame, by: str = "source", x: str = "similarity_score") -> DataFrame:
-    """Quartiles and 1.5 IQR whiskers per dataset; values beyond the whiskers are outliers."""
-    ranks = rank_table(df, [by], x)
-    quartiles = ranks.groupBy(by).agg(*quantile_aggregates(x, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    """Quartiles and 1.5 IQR whiskers per dataset; values beyond the whiskers are outliers.
+
+    The quartiles (one row per dataset) are settled first, so that the scan for the whiskers needs no
+    shuffle of the scores.
+    """
+    rows = _with_pooled(df, by, x, pooled=False)
+    quartiles = exact_quantiles(rows, [by], x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = WHISKER * (F.col("q3") - F.col("q1"))
-    fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    # Fences are joined to the few blocks first; values then meet them on (key, block), so a hot dataset
-    # stays spread over its blocks.
-    blocks = ranks.select(by, "block").distinct().join(fences, by)
+    fences = settle_small(quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach}))
     value = F.col(x)
     inside = F.when((value >= F.col("_low")) & (value <= F.col("_high")), value)
-    beyond = F.when((value < F.col("_low")) | (value > F.col("_high")), F.col("freq")).otherwise(0)
-    return ranks.join(blocks, [by, "block"]).groupBy(by).agg(
+    return rows.join(fences, by).groupBy(by).agg(
         F.any_value("q1").alias("q1"), F.any_value("median").alias("median"), F.any_value("q3").alias("q3"),
         F.least(F.min(inside), F.any_value("q1")).alias("whisker_low"),
         F.greatest(F.max(inside), F.any_value("q3")).alias("whisker_high"),
-        F.sum(beyond).alias("outliers"),
+        F.count_if((value < F.col("_low")) | (value > F.col("_high"))).alias("outliers"),
     )
 
 
