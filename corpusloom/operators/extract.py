@@ -47,12 +47,20 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(keep)
 
 
+def output_text(df: DataFrame, column: str = "output") -> Column:
+    """Output as text; null where a ``VARIANT`` output holds anything else."""
+    c = F.col(column)
+    if not isinstance(df.schema[column].dataType, T.VariantType):
+        return c
+    return F.when(F.schema_of_variant(c) == "STRING", F.variant_get(c, "$", "string"))
+
+
 def extract_qa(df: DataFrame) -> DataFrame:
     """Question/answer pairs without double quotes; incomplete pairs are dropped."""
     pairs = df.select(
         "source", "ord",
         tx.drop_quotes(unwrap_question(F.col("question"))).alias("question"),
-        tx.drop_quotes(tx.strip(F.col("output"))).alias("answer"),
+        tx.drop_quotes(tx.strip(output_text(df))).alias("answer"),
     )
     return pairs.where((F.col("question") != "") & (F.col("answer") != ""))
 
@@ -84,11 +92,11 @@ def table_with_prefix(input_seg: Column) -> Column:
 
 def extract_tqa(df: DataFrame) -> DataFrame:
     """Rows ``question, answer, table`` with normalised text and the prefixed raw table."""
-    question = unwrap_question(F.col("question"))
-    return df.where(tx.has_text(question) & tx.has_text(F.col("output"))).select(
+    question, answer = unwrap_question(F.col("question")), output_text(df)
+    return df.where(tx.has_text(question) & tx.has_text(answer)).select(
         "source", "ord",
         tx.sanitize(question).alias("question"),
-        tx.sanitize(F.col("output")).alias("answer"),
+        tx.sanitize(answer).alias("answer"),
         table_with_prefix(F.col("input_seg")).alias("table"),
     )
 

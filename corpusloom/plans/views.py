@@ -177,16 +177,16 @@ def output_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Broken queries ({k} is the part key, {b} the brand) and what their repair must give.
 BROKEN_QUERIES = (
-    ("select distinct ?uri where [ ?uri dbr:Part:{k} dbo:event ?uri ]",
-     "SELECT distinct ?uri WHERE {{ ?uri dbr:Part_{k} ?v1 . ?v1 dbo:event ?uri }}"),
-    ("select ?value where [ dbr:part_{k} p:location ?value ]",
-     "SELECT ?value WHERE {{ dbr:part_{k} dbo:location ?value }}"),
-    ("ask where [ dbr:P{k} dbo:award ?obj . ?obj dbo:award dbo:time ?x ]",
-     "ASK WHERE {{ dbr:P{k} dbo:award ?obj . ?obj dbo:award ?v1 . ?v1 dbo:time ?x }}"),
-    ("select distinct ?sbj where [ ?sbj wdt:film wd:p{k} . ?sbj rdf:start_time ]",
-     "SELECT distinct ?sbj WHERE {{ ?sbj dbo:film dbr:p{k} . ?sbj rdf:start_time ?v1 }}"),
-    ("select ?obj where [ dbr:Q{k} dbo:award ?obj ] order  BY DESC(?obj)limit 5",
-     "SELECT ?obj WHERE {{ dbr:Q{k} dbo:award ?obj }} ORDER BY DESC(?obj) LIMIT 5"),
+    ("select distinct ?uri where [ ?uri dbr:Part:{k} dbo:maker ?uri ]",
+     "SELECT distinct ?uri WHERE {{ ?uri dbr:Part_{k} ?v1 . ?v1 dbo:maker ?uri }}"),
+    ("select ?value where [ dbr:part_{k} p:weight ?value ]",
+     "SELECT ?value WHERE {{ dbr:part_{k} dbo:weight ?value }}"),
+    ("ask where [ dbr:P{k} dbo:origin ?obj . ?obj dbo:origin dbo:year ?x ]",
+     "ASK WHERE {{ dbr:P{k} dbo:origin ?obj . ?obj dbo:origin ?v1 . ?v1 dbo:year ?x }}"),
+    ("select distinct ?sbj where [ ?sbj wdt:colour wd:p{k} . ?sbj rdf:made_in ]",
+     "SELECT distinct ?sbj WHERE {{ ?sbj dbo:colour dbr:p{k} . ?sbj rdf:made_in ?v1 }}"),
+    ("select ?obj where [ dbr:Q{k} dbo:origin ?obj ] order  BY DESC(?obj)limit 5",
+     "SELECT ?obj WHERE {{ dbr:Q{k} dbo:origin ?obj }} ORDER BY DESC(?obj) LIMIT 5"),
     ("select ?x where [ ?x dbo:name ?l . filter(contains(lcase(?l, 'b{k}', 'en') ]",
      "SELECT ?x WHERE {{ ?x dbo:name ?l . filter(CONTAINS(lcase(?l, b{k}) }}))"),
     ("select ?x where [ ?x ?x dbo:size {k} ; ]",

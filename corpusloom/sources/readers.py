@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as tx
@@ -71,8 +73,9 @@ def read_table(
     on_bad: str = "drop",
     escape: str = '"',
     multi_line: bool = True,
+    skip: Sequence[str] = (),
 ) -> DataFrame:
-    """CSV files with a header as ``source, <schema>``.
+    """CSV files with a header as ``source, <schema>``, without the datasets named in ``skip``.
 
     ``on_bad``: ``drop`` leaves out rows that do not fit the schema, ``keep`` fills their missing fields with
     null, ``fail`` stops the job.  Columns are matched by position; the header is checked against the schema.
@@ -84,7 +87,8 @@ def read_table(
         .option("multiLine", multi_line).option("quote", '"').option("escape", escape)
         .option("pathGlobFilter", "*.csv").csv(path)
     )
-    return frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in frame.columns])
+    named = frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in frame.columns])
+    return named.where(~F.col("source").isin(*skip)) if skip else named
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:

@@ -46,6 +46,8 @@ def test_read_examples_skips_bad_files(spark, corpus):
         "text", "r", "first", '[{"a":1}]', "True", "", "None", '{"a":[1,2],"b":"é"}', "7"
     ]
     assert rows[2].question is None
+    assert [(r.ord, r.question, r.answer) for r in extract.extract_qa(df).collect()] == [(0, "q0", "text")]
+    assert [(r.ord, r.answer, r.table) for r in extract.extract_tqa(df).collect()] == [(0, "text", "")]
 
 
 def test_read_example_lines(spark, tmp_path):
@@ -71,6 +73,7 @@ def test_read_table_policies(spark, tmp_path, on_bad, want):
     else:
         assert sorted((r.question, r.n) for r in df.collect()) == sorted(want)
         assert {r.source for r in df.collect()} == {"t"}
+        assert readers.read_table(spark, str(tmp_path), SCHEMA, on_bad, skip=["t"]).count() == 0
     assert readers.read_header(spark, str(tmp_path / "t-type.csv")) == ["question", "n"]
 
 

@@ -62,7 +62,7 @@ def test_changed_count_is_null_safe(spark):
 @pytest.mark.parametrize("rule, text, want", [
     (repair.brackets_to_braces, "where [ a [b] ", "where { a {b} "),
     (repair.map_prefixes, "wdt:a ps:b p:c wd:d dbp:e xwd:f", "dbo:a dbo:b dbo:c dbr:d dbp:e xwd:f"),
-    (repair.local_names, "dbr:Kot:Rock:x a:b c::d", "dbr:Kot_Rock_x a:b c:_d"),
+    (repair.local_names, "dbr:Box:Lid:x a:b c::d", "dbr:Box_Lid_x a:b c:_d"),
     (repair.local_names, "1a:b:c:d", "1a:b:c_d"),
     (repair.local_names, "a:b.c:d:e f:g", "a:b.c:d_e f:g"),
     (repair.stray_characters, "a&b 'c' >d >= <x> -> .", "a b c  d  = <x> -> ."),
