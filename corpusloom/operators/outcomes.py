@@ -10,7 +10,8 @@ from ..functions import text as tx
 EMPTY = "empty"
 STATUSES = ("non_empty", "empty", "error_nan")
 BAD_FORMAT = "Unexpected results format"
-_RESULT_SCHEMA = "results struct<bindings: array<struct<obj: struct<value: string>>>>"
+_MALFORMED = "_malformed"
+_RESULT_SCHEMA = f"results struct<bindings: array<struct<obj: struct<value: string>>>>, {_MALFORMED} string"
 
 
 def _snippet(body: Column) -> Column:
@@ -31,19 +32,22 @@ def normalize_results(df: DataFrame, json_col: str, error_col: str | None = None
     """
     body = F.col(json_col)
     given = F.col(error_col) if error_col else F.lit(None).cast("string")
+    parsed = F.from_json(body, _RESULT_SCHEMA, {"columnNameOfCorruptRecord": _MALFORMED})
+    read = df.withColumn("_parsed", parsed)
+    # One typed parse decides for good rows; only the others are looked at again.
+    misread = F.col("_parsed").isNull() | F.col(f"_parsed.{_MALFORMED}").isNotNull()
     raw_bindings = F.get_json_object(body, "$.results.bindings")
     problem = (
         F.when(given.isNotNull() & (given != ""), given)
-        .when(F.try_parse_json(body).isNull(),
+        .when(misread & F.try_parse_json(body).isNull(),
               F.concat(F.lit("Invalid JSON: JSONDecodeError: "), _snippet(F.coalesce(body, F.lit("")))))
-        .when(raw_bindings.isNotNull() & ~raw_bindings.startswith("["), F.lit(BAD_FORMAT))
+        .when(misread & raw_bindings.isNotNull() & ~raw_bindings.startswith("["), F.lit(BAD_FORMAT))
     )
-    parsed = F.from_json(body, _RESULT_SCHEMA)["results"]["bindings"]
-    values = F.transform(parsed, lambda b: b["obj"]["value"])
+    values = F.transform("_parsed.results.bindings", lambda b: b["obj"]["value"])
     ordered = F.coalesce(
         F.array_distinct(F.filter(values, lambda v: v.isNotNull())), F.array().cast("array<string>")
     )
-    checked = df.withColumn("_problem", problem)
+    checked = read.withColumn("_problem", problem)
     failed = F.col("_problem").isNotNull()
     return checked.withColumns({
         "obj_list": F.when(~failed, ordered),
@@ -51,7 +55,7 @@ def normalize_results(df: DataFrame, json_col: str, error_col: str | None = None
     }).withColumn(
         "obj_values",
         F.when(F.size("obj_list") > 0, F.array_join("obj_list", ";")).when(~failed, F.lit(EMPTY)),
-    ).drop("_problem")
+    ).drop("_problem", "_parsed")
 
 
 def outcome_status(df: DataFrame) -> Column:

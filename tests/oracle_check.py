@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -53,10 +54,14 @@ def difference(spark_df, con, sql: str) -> str | None:
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from corpusloom.session import build_session
+    from pyspark.sql import SparkSession
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+    if os.environ.get("PLAIN"):  # Spark defaults only
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+                              spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf_dir), oracle_sql(), 0
     for name, fn in queries().items():
