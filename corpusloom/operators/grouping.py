@@ -13,6 +13,30 @@ SEGMENT_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
 
 
+def _segments(rows: DataFrame, segment_bytes: int) -> DataFrame | None:
+    """Segment of each block of each oversized table; None when no table is oversized."""
+    size = F.octet_length("_piece") + 1
+    heavy = settle_small(
+        rows.groupBy("source", "_hash").agg(F.sum(size).alias("_bytes"))
+        .where(F.col("_bytes") > segment_bytes).select("source", "_hash")
+    )
+    if heavy.isEmpty():
+        return None
+    # A hash may stand for several tables, so the exact key decides from here on.
+    one_table = Window.partitionBy("source", "_key")
+    before = one_table.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.join(heavy, ["source", "_hash"], "left_semi").groupBy("source", "_key", "_block").agg(
+        F.count(F.lit(1)).alias("_pairs"), F.sum(size).alias("_bytes")
+    )
+    placed = blocks.select(
+        "source", "_key", "_block",
+        block_of(F.coalesce(F.sum("_bytes").over(before), F.lit(0)), segment_bytes).alias("_segment"),
+        F.sum("_pairs").over(one_table).alias("_all_pairs"),
+        F.sum("_bytes").over(one_table).alias("_all_bytes"),
+    )
+    return settle_small(placed.where(F.col("_all_bytes") > segment_bytes).drop("_all_bytes"))
+
+
 def concat_by_table(
     df: DataFrame,
     table: Column,
@@ -24,34 +48,31 @@ def concat_by_table(
 
     Returns ``source, table, segment, num_pairs, content``.  A table has one row with segment 0 unless its
     text passes ``segment_bytes``; then it comes as consecutive segments whose texts, joined by a blank in
-    segment order, are the whole text.  Sizes are added up per block of ``block_rows`` positions first, so
-    neither the sizing nor the concatenation ever holds a whole hot table.  ``num_pairs`` counts all pairs
-    of the table, also those with an empty piece.
+    segment order, are the whole text.  ``num_pairs`` counts all pairs of the table, also those with an
+    empty piece.
+
+    A first narrow pass adds up the bytes per table (by hash).  Usually no table is oversized, and the text
+    is shuffled once.  Otherwise the oversized tables are sized per block of ``block_rows`` positions, so
+    neither sizing nor concatenation ever holds a whole hot table.
     """
     rows = df.select(
         "source", "ord", table.alias("table"), piece.alias("_piece")
     ).withColumns({
+        "_hash": F.xxhash64("table"),
         "_key": F.coalesce(F.sha2(F.col("table"), 256), F.lit("")),  # not null: no filter is inferred
         "_block": block_of(F.col("ord"), block_rows),
     })
-    keys = ["source", "_key", "_block"]
-    one_table = Window.partitionBy("source", "_key")
-    before = one_table.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_pairs"), F.sum(F.octet_length("_piece") + 1).alias("_bytes")
-    )
-    oversized = sizes.select(
-        *keys,
-        block_of(F.coalesce(F.sum("_bytes").over(before), F.lit(0)), segment_bytes).alias("_segment"),
-        F.sum("_pairs").over(one_table).alias("_all_pairs"),
-        F.sum("_bytes").over(one_table).alias("_all_bytes"),
-    ).where(F.col("_all_bytes") > segment_bytes).drop("_all_bytes")
+    segments = _segments(rows, segment_bytes)
+    if segments is None:
+        tagged = rows.withColumns({"segment": F.lit(0).cast("bigint"), "_all_pairs": F.lit(None).cast("bigint")})
+    else:
+        tagged = rows.join(segments, ["source", "_key", "_block"], "left").withColumn(
+            "segment", F.coalesce("_segment", F.lit(0))
+        )
     pieces = F.array_sort(F.collect_list(F.struct("ord", "_piece")))
     full = F.filter(F.transform(pieces, lambda p: p["_piece"]), lambda p: p != "")
-    # Usually no table is oversized: then this is an empty broadcast and the text is shuffled only once.
     return (
-        rows.join(settle_small(oversized), keys, "left")
-        .groupBy("source", "_key", F.coalesce("_segment", F.lit(0)).alias("segment"))
+        tagged.groupBy("source", "_key", "segment")
         .agg(
             F.any_value("table").alias("table"),
             F.coalesce(F.max("_all_pairs"), F.count(F.lit(1))).alias("num_pairs"),
