@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import SPACE, WORD, WORD_END, WORD_START, bounded, strip
+from ..functions.text import SPACE, WORD, WORD_START, bounded, strip
 
 Rule = tuple[str, Callable[[Column], Column]]
 INLINE_SPACE = r"[^\S\n]*"

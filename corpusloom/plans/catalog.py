@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify as cl
 from ..functions import text as tx
-from ..functions.vectors import cosine
 from ..operators import compare, crosstab, extract, grouping, outcomes, relatedness, repair, sampling, slicing, topics
 from . import views as v
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from ..functions import classify as cl
 from ..functions.text import CAPTION_MARK, HIGHLIGHT_MARK, PUNCTUATION, QUESTION_MARK
-from ..operators.extract import ANSWER_KEYS
 from ..operators.topics import LABELS
 from . import catalog as cat
 from . import views as v
