@@ -6,14 +6,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from corpusloom.llm import decontaminate, language, packing, quality, simhash
+from corpusloom.llm import chat, decontaminate, fingerprints, html, language, licenses, packing, quality, simhash, token_counts
 from corpusloom.llm.common import read, written
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.version_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def document_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(read(spark, sf_dir, "documents"))
+
+
 def fold_of(key: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
+#: One conversation more: a user and an assistant row whose texts hold the template's control strings.
+CONTROL_CONVERSATION = -7
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def formatted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(CONTROL_CONVERSATION, n, role, CONTROL_TEXT) for n, role in enumerate(("user", "assistant"))], rows.schema)
+    turns = chat.format_turns(rows.unionByName(control), tokenizer)
+    return chat.digests(chat.read_back(turns, tokenizer)).withColumnRenamed("conversation", "conv_id")
+
+
+def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_all(read(spark, sf_dir, "documents"))
 
@@ -66,9 +96,14 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
+    "op1_chat_format": formatted_conversations,
+    "op2_token_counts": document_token_counts,
     "op3_best_fit_packing": packed_documents,
     "op4_decontamination": contaminated_documents,
     "op5_language_id": document_languages,
+    "op6_fingerprints": document_fingerprints,
     "op7_quality": document_quality,
+    "op8_html": page_texts,
+    "op9_licenses": document_licenses,
     "op10_simhash": near_duplicate_documents,
 }
