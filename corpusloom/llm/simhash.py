@@ -4,7 +4,7 @@ Neighbours in Gray order share long bit patterns. A node of the index stands for
 holds the bits on which all of them agree (mask and value), less those that its parent holds already. A search walks down
 and adds up the differences to the query; a node is left, with all that hangs below it, once the sum passes the limit.
 
-The distinct fingerprints are cut into runs of about ``NODE`` by Gray rank, at most ``NODES`` runs. The index over these
+The distinct fingerprints are cut by Gray rank into ``RUNS`` runs at least, then runs of about ``NODE``, at most ``NODES``. The index over these
 runs (two numbers each, so its size is bounded) sends every fingerprint to the runs that it cannot be ruled out of; each
 run builds the index over its own members in one task and streams the fingerprints sent to it. A task emits a spanning
 forest of the links that it finds, not the links, so a dense cloud of fingerprints costs rows in proportion to its members.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, slices, utf8, written
 
-#: Fingerprints in a run, most runs, and children of an index node.
-NODE, NODES, FAN = 8192, 4096, 8
+#: Fewest runs, fingerprints in a run beyond that, most runs, and children of an index node.
+RUNS, NODE, NODES, FAN = 64, 8192, 4096, 8
 #: Queries searched at once, and hashes whose bits are counted at once.
 SEARCHED, COUNTED = 1024, 8192
 
@@ -136,12 +136,12 @@ def links(distinct: DataFrame, most: int = 2) -> DataFrame:
     in at most ``most`` bits. ``distinct`` is read several times."""
     spark = distinct.sparkSession
     ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank"))
-    runs = min(NODES, 1 + distinct.count() // NODE)
-    cuts: list[int] = []
-    if runs > 1:  # a sample of about 64 ranks a run balances the runs; the result doesn't depend on it
-        every = max(1, NODE // 64) if runs < NODES else max(1, distinct.count() // (64 * NODES))
-        sample = sorted(r["rank"] for r in ranked.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("rank").collect())
-        cuts = [sample[len(sample) * i // runs] for i in range(1, runs)] if sample else []
+    total = distinct.count()
+    runs = min(NODES, max(RUNS, 1 + total // NODE))
+    # a sixteenth of the ranks at most, about 64 a run, balances the runs; the result doesn't depend on it
+    every = max(16, total // (64 * runs))
+    sample = sorted(r["rank"] for r in ranked.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("rank").collect())
+    cuts = [sample[len(sample) * i // runs] for i in range(1, runs)] if sample else []
     bounds = np.array(sorted(set(cuts)), np.int64)
 
     def home(batch: pa.RecordBatch) -> Iterator[dict]:
