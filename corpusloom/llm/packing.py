@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from corpusloom.llm.common import map_batches, slices, written
 
 #: Rows of one length that one window task ranks.
 RANKED = 100_000
-#: Chunks whose ids are remembered in a worker, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 40
+#: Chunks and words whose ids a worker remembers, and the longest of them in characters.
+CHUNKS, WORDS, LONGEST = 250_000, 700_000, 40
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,36 +38,72 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers, for vocabularies whose pre-tokens hold no white space.
+    """Ids of whole texts as little-endian 32-bit integers, for vocabularies that put letters in lower case, never join
+    what blanks or ASCII punctuation separate, and mark the last piece of a word.
 
-    Such a text's ids are those of its blank-separated chunks in turn, so each distinct chunk is encoded once and
-    remembered. The memory is emptied when it holds ``REMEMBERED`` chunks.
+    A text's ids are those of its blank-separated chunks in turn. A chunk that is a word and then punctuation is looked
+    up in these two parts, any other is encoded as it is. Distinct words are encoded many at a time and cut apart at the
+    pieces that end a word. Both memories are emptied when they are full.
     """
 
-    BLANKS = str.maketrans("\n\t\r", "   ")
+    #: Punctuation that splits off a word; an apostrophe may not.
+    SIGNS = "!#$%&*,.:;?|"
 
     def __init__(self, path: str) -> None:
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many workers as there are cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [text.translate(self.BLANKS).split(" ") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(parts)).difference(known))
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in parts]
+        parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        if len(self.chunks) > CHUNKS:
+            self.chunks = {}
+        if len(self.words) > WORDS:
+            self.words = {}
+        chunks = self.chunks
+        new = list(set(itertools.chain.from_iterable(parts)).difference(chunks))
+        split = {}
+        for chunk in new:
+            word = chunk.rstrip(self.SIGNS)
+            if word.isalpha() and "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
+                split[chunk] = word.lower(), chunk[len(word):]
+        self._learn({part for pair in split.values() for part in pair if part}.difference(self.words))
+        whole = [chunk for chunk in new if chunk not in split]
+        for chunk, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            chunks[chunk] = np.array(found.ids, "<u4").tobytes()
+        words = self.words
+        for chunk, (word, signs) in split.items():
+            chunks[chunk] = words[word] + words[signs] if signs else words[word]
+        out = [b"".join(map(chunks.__getitem__, some)) for some in parts]
         for chunk in new:
             if len(chunk) > LONGEST:
-                del known[chunk]
+                del chunks[chunk]
+                words.pop(split.get(chunk, ("",))[0], None)
         return out
 
+    def _learn(self, new: set[str], together: int = 500) -> None:
+        """Ids of words and runs of signs, ``together`` of them in one encoding."""
+        items = list(new)
+        groups = [items[i : i + together] for i in range(0, len(items), together)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(group):  # a part is more than one word of the vocabulary
+                for item, one in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                    self.words[item] = np.array(one.ids, "<u4").tobytes()
+                continue
+            data = ids.tobytes()
+            for item, begin, end in zip(group, [0, *ends], ends, strict=False):
+                self.words[item] = data[4 * begin : 4 * end]
+
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token pieces of whole texts: key, ``piece`` (from 0), ``start``, ``length``, ``ids`` (little-endian 32-bit).
