@@ -92,7 +92,7 @@ def spearman(pairs: DataFrame, x: str = "score_a", y: str = "score_b", name: str
 
 
 def kendall_row(a: Column, b: Column, compat: bool = False) -> Column:
-    """Kendall's tau-b over the union of two top-3 lists; an absent topic ranks fourth.
+    """Kendall's tau-b over the union of two ranked lists; an absent topic ranks behind the last place of the longer one.
 
     Missing topics are left out, and a row with no comparable pair gives null.  ``compat=True`` treats
     missing topics as one more topic instead.
@@ -104,14 +104,17 @@ def kendall_row(a: Column, b: Column, compat: bool = False) -> Column:
         left, right = F.transform(left, keep), F.transform(right, keep)
     names = F.array_compact(F.array_union(left, right))
 
+    places = F.greatest(F.size(left), F.size(right))
+
     def rank(ranking: Column, topic: Column) -> Column:
         # a repeated topic counts at its last place; array_position gives 0 for an absent topic
-        return F.lit(TOP + 1) - F.array_position(F.reverse(ranking), topic)
+        behind = F.array_position(F.reverse(ranking), topic)
+        return F.when(behind > 0, F.size(ranking) + 1 - behind).otherwise(places + 1)
 
     ranks = F.transform(names, lambda t: F.struct(rank(left, t).alias("a"), rank(right, t).alias("b")))
 
     def against_later(r: Column, i: Column) -> Column:
-        return F.transform(F.slice(ranks, i + 2, 2 * TOP), lambda s: F.struct(
+        return F.transform(F.slice(ranks, i + 2, F.size(ranks)), lambda s: F.struct(
             F.signum(r["a"] - s["a"]).alias("a"), F.signum(r["b"] - s["b"]).alias("b")
         ))
 

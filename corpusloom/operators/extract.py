@@ -101,14 +101,22 @@ def extract_tqa(df: DataFrame) -> DataFrame:
     )
 
 
-def answer_of(output: Column) -> Column:
+def spaced_json(text: Column) -> Column:
+    """JSON text with a blank after each comma and colon outside strings, and none elsewhere; keys keep their order."""
+    string = r'"(?:[^"\\]|\\.)*+"'
+    dense = F.regexp_replace(text, rf'({string})|\s+', "$1")
+    return F.regexp_replace(dense, rf'\G(?:{string}|[^",:])++[,:]', "$0 ")
+
+
+def answer_of(output: Column, text: Column | None = None) -> Column:
     """Answer text of a polymorphic ``VARIANT`` output.
 
     Text is trimmed; an object gives its first text answer key, a list its first text item; anything else
-    becomes compact JSON.
+    becomes JSON with a blank after commas and colons.  ``text`` is the JSON that ``output`` was parsed from; it keeps the
+    order of keys, which a ``VARIANT`` alone has lost.
     """
     shape = F.coalesce(F.schema_of_variant(output), F.lit("MISSING"))
-    json_text = tx.collapse_ws(F.to_json(output))
+    json_text = tx.collapse_ws(spaced_json(F.to_json(output) if text is None else text))
 
     def text_at(path: str) -> Column:
         part = F.variant_get(output, path, "variant")

@@ -6,89 +6,66 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from .extract import answer_text
-from .joins import settle_small
 from .ordering import block_of
 
 SEGMENT_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
 
 
-def _segments(rows: DataFrame, segment_bytes: int) -> DataFrame | None:
-    """Segment of each block of each oversized table; None when no table is oversized."""
-    size = F.octet_length("_piece") + 1
-    heavy = settle_small(
-        rows.groupBy("source", "_hash").agg(F.sum(size).alias("_bytes"))
-        .where(F.col("_bytes") > segment_bytes).select("source", "_hash")
-    )
-    if heavy.isEmpty():
-        return None
-    # A hash may stand for several tables, so the exact key decides from here on.
-    one_table = Window.partitionBy("source", "_key")
-    before = one_table.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.join(heavy, ["source", "_hash"], "left_semi").groupBy("source", "_key", "_block").agg(
-        F.count(F.lit(1)).alias("_pairs"), F.sum(size).alias("_bytes")
-    )
-    placed = blocks.select(
-        "source", "_key", "_block",
-        block_of(F.coalesce(F.sum("_bytes").over(before), F.lit(0)), segment_bytes).alias("_segment"),
-        F.sum("_pairs").over(one_table).alias("_all_pairs"),
-        F.sum("_bytes").over(one_table).alias("_all_bytes"),
-    )
-    return settle_small(placed.where(F.col("_all_bytes") > segment_bytes).drop("_all_bytes"))
-
-
 def concat_by_table(
     df: DataFrame,
     table: Column,
     piece: Column,
     segment_bytes: int = SEGMENT_BYTES,
     block_rows: int = BLOCK_ROWS,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Concatenate ``piece`` over the rows of each (source, table), in ``ord`` order.
 
-    Returns ``source, table, segment, num_pairs, content``.  A table has one row with segment 0 unless its
-    text passes ``segment_bytes``; then it comes as consecutive segments whose texts, joined by a blank in
-    segment order, are the whole text.  ``num_pairs`` counts all pairs of the table, also those with an
-    empty piece.
+    Returns ``source, table, segment, num_pairs, content``.  A table comes as consecutive segments of about
+    ``segment_bytes`` whose texts, joined by a blank in segment order, are the whole text; most have segment 0 only.
+    ``num_pairs`` counts all pairs of the table, also those with an empty piece; empty pieces add no text unless
+    ``keep_empty``.
 
-    A first narrow pass adds up the bytes per table (by hash).  Usually no table is oversized, and the text
-    is shuffled once.  Otherwise the oversized tables are sized per block of ``block_rows`` positions, so
-    neither sizing nor concatenation ever holds a whole hot table.
+    All tables take the same way: pieces are joined per block of ``block_rows`` positions, the bytes before a block say
+    which segment it belongs to, and blocks are joined per segment.  No task holds more than a segment of a table.
     """
-    rows = df.select(
-        "source", "ord", table.alias("table"), piece.alias("_piece")
-    ).withColumns({
-        "_hash": F.xxhash64("table"),
+    keys = ["source", "_key", "_block"]
+    rows = df.select("source", "ord", table.alias("table"), piece.alias("_piece")).withColumns({
         "_key": F.coalesce(F.sha2(F.col("table"), 256), F.lit("")),  # not null: no filter is inferred
         "_block": block_of(F.col("ord"), block_rows),
     })
-    segments = _segments(rows, segment_bytes)
-    if segments is None:
-        tagged = rows.withColumns({"segment": F.lit(0).cast("bigint"), "_all_pairs": F.lit(None).cast("bigint")})
-    else:
-        tagged = rows.join(segments, ["source", "_key", "_block"], "left").withColumn(
-            "segment", F.coalesce("_segment", F.lit(0))
-        )
-    pieces = F.array_sort(F.collect_list(F.struct("ord", "_piece")))
-    full = F.filter(F.transform(pieces, lambda p: p["_piece"]), lambda p: p != "")
+    kept = F.col("_piece").isNotNull() if keep_empty else F.col("_piece") != ""
+    size = F.coalesce(F.sum(F.when(kept, F.octet_length("_piece") + 1)), F.lit(0))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"), size.alias("_bytes"))
+    whole = Window.partitionBy("source", "_key")
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select(
+        *keys,
+        block_of(F.coalesce(F.sum("_bytes").over(before), F.lit(0)), segment_bytes).alias("segment"),
+        F.sum("_pairs").over(whole).alias("num_pairs"),
+    )
+    pieces = F.array_sort(F.collect_list(F.when(kept, F.struct("ord", "_piece"))))
+    blocks = rows.groupBy(*keys).agg(
+        F.any_value("table").alias("table"), F.array_join(F.transform(pieces, lambda p: p["_piece"]), " ").alias("_text"),
+        F.count_if(kept).alias("_kept"),
+    )
+    texts = F.array_sort(F.collect_list(F.when(F.col("_kept") > 0, F.struct("_block", "_text"))))
     return (
-        tagged.groupBy("source", "_key", "segment")
-        .agg(
-            F.any_value("table").alias("table"),
-            F.coalesce(F.max("_all_pairs"), F.count(F.lit(1))).alias("num_pairs"),
-            F.array_join(full, " ").alias("content"),
-        )
+        blocks.join(placed, keys).groupBy("source", "_key", "segment")
+        .agg(F.any_value("table").alias("table"), F.any_value("num_pairs").alias("num_pairs"),
+             F.array_join(F.transform(texts, lambda t: t["_text"]), " ").alias("content"))
         .select("source", "table", "segment", "num_pairs", "content")
     )
 
 
 def group_claims(df: DataFrame, **limits: int) -> DataFrame:
-    """Claims per cleaned table as one line: table text, then the claims in arrival order.
+    """Claims per cleaned table as one line: table text, then the claims in arrival order, each after a blank (also empty ones).
 
     The table text opens only segment 0, so segments still add up to the whole line.
     """
     grouped = concat_by_table(
-        df, tx.clean_caption(F.col("input_seg")), tx.clean_claim(F.col("question")), **limits
+        df, tx.clean_caption(F.col("input_seg")), tx.clean_claim(F.col("question")), keep_empty=True, **limits
     )
     line = F.when(F.col("segment") == 0, F.concat_ws(" ", "table", "content")).otherwise(F.col("content"))
     return grouped.select("source", "table", "segment", F.col("num_pairs").alias("num_claims"), line.alias("line"))

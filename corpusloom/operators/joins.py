@@ -1,52 +1,16 @@
-"""Joins that stay balanced when one key holds most of the rows, and size-checked broadcasts."""
+"""A lookup that stays balanced when one key holds most of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import tempfile
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SALTS = 16
-BROADCAST_ROWS = 200_000
+def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], key: Column, how: str = "left") -> DataFrame:
+    """Join a fact frame to a dimension on ``on``; ``key`` identifies fact rows.
 
-
-def lookup_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], spread: Column, how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join a fact frame to a dimension on ``on``, spreading each key over ``salts`` tasks.
-
-    ``spread`` is any column that varies within a key (a row id).  The dimension is repeated per salt;
-    Spark still broadcasts it by itself when its size is known to be small.
-    """
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the one the cluster names, else one for this (local) run."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def settle_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a side table once and mark it for broadcast if it turned out small.
-
-    The frame is checkpointed (so the count and the join use the same rows even if executors are lost) and
-    its rows, or the sum of ``weight``, are counted.  Up to ``limit`` it is broadcast, which spares the
-    other side its shuffle; beyond that Spark joins it like any other frame.
+    The join itself is left to adaptive execution, which broadcasts a dimension that it measures to be small and splits a
+    key that is hot on the fact side; neither depends on a fixed number.
     """
-    use_checkpoint_dir(df.sparkSession)
-    settled = df.checkpoint(eager=True)
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    n = settled.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(settled) if n <= limit else settled
+    return fact.join(dim, list(on), how)

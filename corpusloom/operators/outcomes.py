@@ -15,7 +15,8 @@ _RESULT_SCHEMA = f"results struct<bindings: array<struct<obj: struct<value: stri
 
 
 def _snippet(body: Column) -> Column:
-    return tx.truncate(F.replace(tx.strip(body), F.lit("\n"), F.lit(" ")))
+    """A message body on one line; it is kept whole, reports cut it for display."""
+    return F.replace(tx.strip(body), F.lit("\n"), F.lit(" "))
 
 
 def http_error(status: Column, body: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from .joins import settle_small
 from .ordering import exact_quantiles, running_index
 
 ALL_FILES = "ALL_FILES"
@@ -97,13 +96,12 @@ def score_summary(df: DataFrame, by: str = "source", x: str = "similarity_score"
 def box_stats(df: DataFrame, by: str = "source", x: str = "similarity_score") -> DataFrame:
     """Quartiles and 1.5 IQR whiskers per dataset; values beyond the whiskers are outliers.
 
-    The quartiles (one row per dataset) are settled first, so that the scan for the whiskers needs no
-    shuffle of the scores.
+    The quartiles are one row per dataset, so the scan for the whiskers joins a side that adaptive execution broadcasts.
     """
     rows = _with_pooled(df, by, x, pooled=False)
     quartiles = exact_quantiles(rows, [by], x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = WHISKER * (F.col("q3") - F.col("q1"))
-    fences = settle_small(quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach}))
+    fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     value = F.col(x)
     inside = F.when((value >= F.col("_low")) & (value <= F.col("_high")), value)
     return rows.join(fences, by).groupBy(by).agg(

@@ -12,26 +12,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_order
 
-# Spark cuts a row_number() <= n window to n rows per group and map task while n stays below this value.
-GROUP_LIMIT = 1_000
 SALTS = 256
 
 
 def smallest_per_group(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group in ``order``, with their 1-based ``_rank``.
 
-    For small ``n`` the window group limit already trims every map task; beyond that the group is cut in
-    salted sub-groups first, so no task ranks a whole hot group.
+    The group is cut in salted sub-groups first, so no task ranks a whole hot group; the second stage sees at most
+    ``n`` rows of each sub-group.
     """
-    if n >= GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
-        part = Window.partitionBy(by, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(part))
-            .where(F.col("_rank") <= n).drop("_salt", "_rank")
-        )
+    part = Window.partitionBy(by, "_salt").orderBy(*order)
+    trimmed = (
+        df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part))
+        .where(F.col("_rank") <= n).drop("_salt", "_rank")
+    )
     whole = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= n)
+    return trimmed.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= n)
 
 
 def sample_n(df: DataFrame, key: str, n: int = 50, by: str = "source", seed: int = 42) -> DataFrame:

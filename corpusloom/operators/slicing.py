@@ -14,11 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .joins import settle_small
 from .ordering import block_of
 
 SLICE_BYTES = 20_000_000
-BROADCAST_CUTS = 5_000_000  # 8 bytes each
 BLOCK_ROWS = 1_000_000
 
 
@@ -121,20 +119,16 @@ def slice_by_size(
     """Add the 1-based ``part`` of each row: greedy slices of at most ``limit`` bytes per source.
 
     A part is closed when the next row would pass the limit; a row larger than the limit is a part of its
-    own.  The cuts are settled first (one narrow pass); as long as they are few enough to be broadcast, the
-    wide rows are not shuffled at all.
+    own.  A row finds its part among the cuts of its block by binary search, one projection per step.
     """
-    starts = settle_small(
-        slice_starts(df, size, limit, by, order, block_rows), F.size("_starts") + F.lit(1), limit=BROADCAST_CUTS
-    )
+    starts = slice_starts(df, size, limit, by, order, block_rows)
     at = F.col(order).cast("bigint")
-    opened = F.size(F.filter("_starts", lambda s: s <= at))
-    return (
-        df.withColumn("_block", block_of(at, block_rows))
-        .join(starts, [by, "_block"])
-        .withColumn("part", F.col("_part") + opened)
-        .drop("_block", "_part", "_starts")
-    )
+    placed = df.withColumn("_block", block_of(at, block_rows)).join(starts, [by, "_block"]).withColumn("_opened", F.lit(0))
+    for shift in reversed(range(block_rows.bit_length())):
+        step = 1 << shift
+        begun = F.get("_starts", F.col("_opened") + F.lit(step - 1)) <= at
+        placed = placed.withColumn("_opened", F.col("_opened") + F.when(begun, step).otherwise(0))
+    return placed.withColumn("part", F.col("_part") + F.col("_opened")).drop("_block", "_part", "_starts", "_opened")
 
 
 def row_totals(df: DataFrame, size: Column, by: str = "source") -> DataFrame:

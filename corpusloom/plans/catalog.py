@@ -115,14 +115,14 @@ def question_prompts(spark, sf):
 @query
 def answer_shape(spark, sf):
     return v.output_shapes(spark, sf).select(
-        "event_id", extract.answer_of(F.try_parse_json(F.col("output"))).alias("answer")
+        "event_id", extract.answer_of(F.try_parse_json(F.col("output")), F.col("output")).alias("answer")
     )
 
 
 @query
 def complete_rows(spark, sf):
     turns = v.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.when(F.col("role") != "system", F.translate("text", "\n", "")).alias("text")
+        "conv_id", "turn", F.translate("text", "\n", "").alias("text")
     )
     return extract.drop_incomplete(turns, ["text"])
 
@@ -440,9 +440,11 @@ def relatedness_vectors(spark, sf):
 
 @query
 def relatedness_text(spark, sf):
-    """Term cosine of each document and the next one, over the whole texts."""
+    """Term cosine of each document and the next one (of the last and the first), over the whole texts."""
     docs = v.table(spark, sf, "documents").select("doc_id", "text")
-    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    first, last = (docs.agg(f("doc_id").alias("at")).scalar() for f in (F.min, F.max))
+    before = F.when(F.col("doc_id") == first, last).otherwise(F.col("doc_id") - 1)
+    following = docs.select(before.alias("doc_id"), F.col("text").alias("next_text"))
     pairs = docs.join(following, "doc_id")
     scored = relatedness.token_relatedness(pairs, ["doc_id"], F.col("text"), F.col("next_text"))
     return scored.withColumn("similarity_score", _six("similarity_score"))

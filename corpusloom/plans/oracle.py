@@ -108,7 +108,7 @@ EXAMPLES = QA + """, examples AS (
 
 CLAIMS = EXAMPLES + """, claims AS (
   SELECT source, ord, input_seg,
-    CASE WHEN ord % 3 = 0 THEN 'statement: <' || question || '> holds' ELSE question END AS question
+    CASE WHEN ord % 11 = 4 THEN '' WHEN ord % 3 = 0 THEN 'statement: <' || question || '> holds' ELSE question END AS question
   FROM examples)"""
 
 _UNWRAPPED = f"""CASE WHEN source LIKE '%fetaqa%' THEN {strip(after('question', HIGHLIGHT_MARK))}
@@ -235,15 +235,16 @@ def cross_tab(frm: str, column: str, labels, total: str, row: str = "source") ->
 
 
 def ranked(name: str, first: int) -> str:
+    """Best labels of the half of the dimensions that begins at ``first``; each is added to the label of its place mod 14."""
+    folded = ", ".join(" + ".join(f"embedding[{d}]::DOUBLE" for d in range(first + i, first + 32, 14)) for i in range(14))
     return f"""{name} AS (
   SELECT vec_id, rk, label, round(score, 4) AS score FROM (
     SELECT vec_id, ([{items(LABELS)}])[i] AS label, score,
            row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i) AS rk
-    FROM (SELECT vec_id, unnest(range(1, 15)) AS i, unnest(embedding[{first}:{first + 13}])::DOUBLE AS score
-          FROM embeddings)) WHERE rk <= 3)"""
+    FROM (SELECT vec_id, unnest(range(1, 15)) AS i, unnest([{folded}]) AS score FROM embeddings)) WHERE rk <= 3)"""
 
 
-RANKED = ranked("ra", 1) + ", " + ranked("rb", 15)
+RANKED = ranked("ra", 1) + ", " + ranked("rb", 33)
 TOPS = RANKED + """, tops AS (SELECT a.vec_id, a.label AS topic_a, b.label AS topic_b, a.score AS score_a, b.score AS score_b
   FROM ra a JOIN rb b ON a.vec_id = b.vec_id AND a.rk = 1 AND b.rk = 1)"""
 SHARED = "SELECT DISTINCT a.vec_id FROM ra a JOIN rb b ON a.vec_id = b.vec_id AND a.label = b.label"
@@ -263,7 +264,8 @@ SIM = """sim AS (SELECT 'label' || a.label AS source, a.vec_id AS ord,
   round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
     / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
      * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity_score
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+  FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN a.vec_id = (SELECT max(vec_id) FROM embeddings)
+    THEN (SELECT min(vec_id) FROM embeddings) ELSE a.vec_id + 1 END)"""
 LOWEST = SIM + ", lowest AS (SELECT * FROM sim ORDER BY similarity_score, source, ord LIMIT 100)"
 
 
@@ -400,9 +402,10 @@ ORACLES: dict[str, str] = {
     "question_prompts": f"WITH {QA} SELECT ord, 'Create SPARQL Query: ' || question AS prompt FROM qa",
     "answer_shape": f"""SELECT event_id, CASE event_id % 8
         WHEN 0 THEN 'plain ' || {_K} WHEN 1 THEN 'a' || {_K} WHEN 2 THEN 'p' || {_K} WHEN 3 THEN 'first ' || {_K}
-        WHEN 4 THEN '[' || {_K} || ',2]' WHEN 5 THEN 'True' WHEN 6 THEN {_K} ELSE json(props)::VARCHAR END AS answer
+        WHEN 4 THEN '[' || {_K} || ', [2, {{"b": ' || {_K} || ', "a": "x,y: z"}}]]' WHEN 5 THEN 'True' WHEN 6 THEN {_K}
+        ELSE '{{"b": ' || {_K} || ', "a": "1:2,3"}}' END AS answer
       FROM events""",
-    "complete_rows": f"""SELECT * FROM (SELECT conv_id, turn, CASE WHEN role <> 'system' THEN replace(text, chr(10), '') END AS text
+    "complete_rows": f"""SELECT * FROM (SELECT conv_id, turn, replace(text, chr(10), '') AS text
       FROM conversations) WHERE {strip('text')} <> ''""",
     "question_phrase": f"WITH {PHRASES} SELECT ord, phrase FROM phrases",
     "phrase_hierarchy": f"""WITH {PHRASES}, w AS (SELECT string_split(phrase, ' ') AS p FROM phrases),
@@ -488,7 +491,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'b', rk::INT, label, count(*) FROM rb GROUP BY ALL""",
     "relatedness_vectors": f"WITH {SIM} SELECT * FROM sim",
     "relatedness_text": f"""WITH texts AS (SELECT a.doc_id, a.text AS l, b.text AS r FROM documents a
-      JOIN documents b ON b.doc_id = a.doc_id + 1), {term_cosine('texts', 'doc_id')}""",
+      JOIN documents b ON b.doc_id = CASE WHEN a.doc_id = (SELECT max(doc_id) FROM documents)
+        THEN (SELECT min(doc_id) FROM documents) ELSE a.doc_id + 1 END), {term_cosine('texts', 'doc_id')}""",
     "relatedness_questions": f"""WITH {EXAMPLES}, texts AS (SELECT * FROM (SELECT source, ord,
         {no_punct(segment('input_seg', 1, False))} AS l, {no_punct(_V1_QUESTION)} AS r, {_V1_QUESTION} AS question
       FROM examples) WHERE question <> ''), {term_cosine('texts', 'source, ord')}""",

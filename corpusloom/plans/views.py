@@ -6,11 +6,10 @@ Every view covers its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vectors import cosine
 from ..operators.topics import LABELS, label_scores
-from ..sources.readers import spread_small
 
 SOURCES = ("fetaqa_train", "fetaqa_test", "hitab_test", "hitab_train", "wikisql_test", "wikitq_test", "hybridqa_eval")
 
@@ -40,13 +39,8 @@ ANSWER_LEADS = (
 PLAIN_ANSWERS = (0, 1, 10)
 
 
-# Tables of long texts are spread over the cores when they come as one small file.
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values, index: Column) -> Column:
@@ -55,16 +49,16 @@ def _pick(values, index: Column) -> Column:
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question/answer pairs: a user turn and the assistant turn right after it."""
-    turns = table(spark, sf_dir, "conversations")
-    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("asked"))
-    told = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("told")
-    )
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("asked"),
+        *[F.lead(c).over(order).alias(n) for c, n in (("turn", "_turn"), ("role", "_role"), ("text", "told"))],
+    ).where("role = 'user' AND _role = 'assistant' AND _turn = turn + 1")
     kind = F.col("conv_id") * 3 + F.col("turn")
     blob = F.when((kind % len(ANSWER_LEADS)).isin(*PLAIN_ANSWERS), F.col("told")).otherwise(
         F.translate("told", " ", "_")
     )
-    return asked.join(told, ["conv_id", "turn"]).select(
+    return turns.select(
         _pick(SOURCES, F.col("conv_id") % len(SOURCES)).alias("source"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
         F.concat(_pick(QUESTION_LEADS, kind % len(QUESTION_LEADS)), F.col("asked")).alias("question"),
@@ -103,26 +97,32 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims about a table; a third of them stands in angle brackets."""
+    """Claims about a table; a third of them stands in angle brackets, some are empty."""
     wrapped = F.concat(F.lit("statement: <"), F.col("question"), F.lit("> holds"))
     return examples(spark, sf_dir).withColumn(
-        "question", F.when(F.col("ord") % 3 == 0, wrapped).otherwise(F.col("question"))
+        "question", F.when(F.col("ord") % 11 == 4, "").when(F.col("ord") % 3 == 0, wrapped).otherwise(F.col("question"))
     )
 
 
 def score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two score lists per vector: dimensions 1-14 and 15-28 as scores of the topic labels."""
-    at = [F.get("embedding", F.lit(i)) for i in range(2 * len(LABELS))]
-    n = len(LABELS)
+    """Two score lists per vector: each half of the dimensions, added up over the topic labels in turn."""
+    half, n = 32, len(LABELS)
+
+    def folded(first: int) -> list[Column]:
+        at = [F.get("embedding", F.lit(d)).cast("double") for d in range(first, first + half)]
+        return [sum(at[i + n :: n], at[i]) for i in range(n)]
+
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", label_scores(at[:n]).alias("scores_a"), label_scores(at[n:]).alias("scores_b")
+        "vec_id", label_scores(folded(0)).alias("scores_a"), label_scores(folded(half)).alias("scores_b")
     )
 
 
 def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine similarity of each vector and the next one, rounded to six digits."""
+    """Cosine similarity of each vector and the next one (of the last and the first), rounded to six digits."""
     vectors = table(spark, sf_dir, "embeddings")
-    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next"))
+    first, last = (vectors.agg(f("vec_id").alias("at")).scalar() for f in (F.min, F.max))
+    before = F.when(F.col("vec_id") == first, last).otherwise(F.col("vec_id") - 1)
+    following = vectors.select(before.alias("vec_id"), F.col("embedding").alias("_next"))
     return vectors.join(following, "vec_id").select(
         F.concat(F.lit("label"), F.col("label").cast("string")).alias("source"),
         F.col("vec_id").alias("ord"),
@@ -168,10 +168,10 @@ def output_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, text('{"result": "r', k, '", "answer": " a', k, '"}'))
         .when(kind == 2, text('{"final_answer": 5, "prediction": "p', k, '"}'))
         .when(kind == 3, text('["first ', k, '", "second"]'))
-        .when(kind == 4, text("[", k, ", 2]"))
+        .when(kind == 4, text("[", k, ',  [2,{"b":', k, ' ,"a" : "x,y: z"}]]'))
         .when(kind == 5, F.lit("true"))
         .when(kind == 6, k)
-        .otherwise(F.col("props")).alias("output"),
+        .otherwise(text('{"b": ', k, ',\n "a":"1:2,3"}')).alias("output"),
     )
 
 

@@ -72,25 +72,46 @@ def read_table(
     schema: T.StructType | str,
     on_bad: str = "drop",
     escape: str = '"',
-    multi_line: bool = True,
+    multi_line: bool = False,
     skip: Sequence[str] = (),
+    on_header: str = "raise",
 ) -> DataFrame:
     """CSV files with a header as ``source, <schema>``, without the datasets named in ``skip``.
 
-    ``on_bad``: ``drop`` leaves out rows that do not fit the schema, ``keep`` fills their missing fields with
-    null, ``fail`` stops the job.  Columns are matched by position; the header is checked against the schema.
-    With ``multi_line=False`` (no line breaks inside fields) large files are split over many tasks.
+    The header of every file is compared with the schema, blanks around names aside: a file whose columns differ or stand
+    in another order stops the job (``on_header="raise"``) or is left out (``"skip"``).  ``on_bad``: ``drop`` leaves out
+    rows that do not fit the schema, whichever columns are selected later, ``keep`` fills their missing fields with null,
+    ``fail`` stops the job.  ``multi_line=True`` allows line breaks inside fields, but then a file cannot be split.
     """
-    modes = {"drop": "DROPMALFORMED", "keep": "PERMISSIVE", "fail": "FAILFAST"}
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    corrupt = "_corrupt_record"
+    found = header_files(spark, path, fields.names)
+    if on_header == "raise" and (wrong := sorted(f for f, right in found if not right)):
+        raise ValueError(f"header differs from {', '.join(fields.names)}: {', '.join(wrong)}")
+    files = [f for f, right in found if right]
+    if not files:
+        return spark.createDataFrame([], T.StructType([T.StructField("source", T.StringType()), *fields.fields]))
     frame = (
-        spark.read.schema(schema).option("header", True).option("mode", modes[on_bad])
-        .option("multiLine", multi_line).option("quote", '"').option("escape", escape)
-        .option("pathGlobFilter", "*.csv").csv(path)
+        spark.read.schema(T.StructType([*fields.fields, T.StructField(corrupt, T.StringType())])).option("header", True)
+        .option("mode", "FAILFAST" if on_bad == "fail" else "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+        .option("multiLine", multi_line).option("quote", '"').option("escape", escape).csv(files)
     )
-    named = frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in frame.columns])
+    if on_bad != "keep":  # always true, but it reads every column, so that none is pruned and each row is checked whole
+        frame = frame.where(F.col(corrupt).isNull() & (F.xxhash64(*[f"`{c}`" for c in fields.names]) >= F.lit(-(1 << 63))))
+    named = frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in fields.names])
     return named.where(~F.col("source").isin(*skip)) if skip else named
 
 
+def header_files(spark: SparkSession, path: str, names: Sequence[str]) -> list[tuple[str, bool]]:
+    """CSV files below ``path`` and whether their first line holds ``names`` in this order (one row per file)."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    first = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\A\x{feff}", "").alias("value")
+    ).groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '\\A"|"\\z', "")))
+    return [(r["file"], r["right"]) for r in first.select("file", (cells == F.array(*map(F.lit, names))).alias("right")).collect()]
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file (one line is read), for ``require_columns`` style checks."""
     return [c.strip() for c in spark.read.option("header", True).csv(path).columns]
@@ -104,17 +125,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("value") != "")
 
 
-def spread_small(df: DataFrame, key: str, unit_bytes: int = 128 << 20) -> DataFrame:
-    """Spread an input with fewer file blocks than cores over all cores, by row key.
-
-    A small Parquet file is one row group and so one task, however long its texts are.  The size is the scan
-    estimate of the plan (no job); inputs with enough blocks are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * unit_bytes else df
-
-
 def to_parquet(df: DataFrame, path: str) -> None:
     """Convert a corpus once to Parquet, one folder per source."""
     df.write.mode("overwrite").partitionBy("source").parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as tx
 from ..operators.outcomes import STATUSES, distinct_errors
 
 
@@ -43,7 +44,7 @@ def outcome_report(summary: DataFrame, errors: DataFrame) -> DataFrame:
             F.lit(1).alias("section"), F.lit(str(i)).alias("sort_key"), line.alias("line")
         )
         body = part if body is None else body.unionByName(part)
-    safe = F.replace("error", F.lit("|"), F.lit("\\|"))
+    safe = F.replace(tx.truncate(F.col("error")), F.lit("|"), F.lit("\\|"))
     tail = distinct_errors(errors).select(
         F.lit(2).alias("section"), F.col("error").alias("sort_key"),
         F.concat(F.lit("| "), safe, F.lit(" |")).alias("line"),

@@ -127,3 +127,24 @@ def test_lookup_topics_keeps_unmatched_rows(spark):
     assert [tuple(t) for t in got[1].topics] == [("M", 0.7), ("L", 0.2)]
     assert got[0].page == "T2" and got[0].topics is None
     assert got[99].page is None and got[100].titles is None
+
+
+@pytest.mark.parametrize("size", [2, 3, 5])
+def test_kendall_of_lists_of_any_length(spark, size):
+    import random
+    from itertools import combinations
+
+    draw = random.Random(size)
+    names = [f"t{i}" for i in range(size + 2)]
+    rows = [(i, draw.sample(names, size), draw.sample(names, size)) for i in range(20)]
+    kind = "array<struct<label: string, score: double>>"
+    df = spark.createDataFrame([(i, [(t, 0.0) for t in a], [(t, 0.0) for t in b]) for i, a, b in rows], f"i int, a {kind}, b {kind}")
+    got = {r.i: r.tau for r in df.select("i", compare.kendall_row(F.col("a"), F.col("b")).alias("tau")).collect()}
+    for i, a, b in rows:
+        def rank(ranking, topic):
+            return ranking.index(topic) if topic in ranking else size
+        pairs = [(rank(a, s) - rank(a, t), rank(b, s) - rank(b, t)) for s, t in combinations(sorted({*a, *b}), 2)]
+        sign = lambda v: (v > 0) - (v < 0)
+        both = sum(sign(x) * sign(y) for x, y in pairs)
+        scale = (sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs)) ** 0.5
+        assert got[i] == pytest.approx(both / scale)

@@ -43,7 +43,7 @@ def test_read_examples_skips_bad_files(spark, corpus):
     assert {r.source for r in rows} == {"good"}
     assert [r.ord for r in rows] == list(range(9))
     assert [r.answer for r in rows] == [
-        "text", "r", "first", '[{"a":1}]', "True", "", "None", '{"a":[1,2],"b":"é"}', "7"
+        "text", "r", "first", '[{"a": 1}]', "True", "", "None", '{"a": [1, 2], "b": "é"}', "7"
     ]
     assert rows[2].question is None
     assert [(r.ord, r.question, r.answer) for r in extract.extract_qa(df).collect()] == [(0, "q0", "text")]
@@ -66,14 +66,14 @@ SCHEMA = T.StructType([T.StructField("question", T.StringType()), T.StructField(
 ])
 def test_read_table_policies(spark, tmp_path, on_bad, want):
     (tmp_path / "t-type.csv").write_text('question,n\n"a ""b"", c\nd",1\nbad,x\n')
-    df = readers.read_table(spark, str(tmp_path), SCHEMA, on_bad)
+    df = readers.read_table(spark, str(tmp_path), SCHEMA, on_bad, multi_line=True)
     if want is None:
         with pytest.raises(Exception):
             df.collect()
     else:
         assert sorted((r.question, r.n) for r in df.collect()) == sorted(want)
         assert {r.source for r in df.collect()} == {"t"}
-        assert readers.read_table(spark, str(tmp_path), SCHEMA, on_bad, skip=["t"]).count() == 0
+        assert readers.read_table(spark, str(tmp_path), SCHEMA, on_bad, multi_line=True, skip=["t"]).count() == 0
     assert readers.read_header(spark, str(tmp_path / "t-type.csv")) == ["question", "n"]
 
 
@@ -151,17 +151,27 @@ def test_pivot_display_and_missing_categories(spark):
     assert got == {"a": ("2", "0", "0"), "b": ("0", "1", "0"), "Total": ("2 (0.6667)", "1 (0.3333)", "0 (0.0)")}
 
 
-def test_lookup_join_and_settled_side(spark):
+def test_lookup_join(spark):
     fact = spark.range(100).select("id", F.when(F.col("id") < 70, "hot").otherwise("none").alias("k"))
     dim = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
     got = joins.lookup_join(fact, dim, ["k"], F.col("id"))
     assert got.count() == 100 and got.where("v = 1").count() == 70
-    small, large = joins.settle_small(dim), joins.settle_small(dim, F.col("v"), limit=2)
-    assert small.join(fact, "k").count() == large.join(fact, "k").count() == 70
 
 
-def test_small_inputs_are_spread(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "p"))
-    df = spark.read.parquet(str(tmp_path / "p"))
-    assert readers.spread_small(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert readers.spread_small(df, "id", unit_bytes=0) is df
+def test_csv_header_is_enforced(spark, tmp_path):
+    (tmp_path / "good.csv").write_text('question, "answer"\nq1,1\n"a, b",2\n')
+    (tmp_path / "swapped.csv").write_text("answer,question\n1,q3\n")
+    schema = "question string, answer int"
+    with pytest.raises(ValueError, match="swapped.csv"):
+        readers.read_table(spark, str(tmp_path), schema)
+    got = readers.read_table(spark, str(tmp_path), schema, on_header="skip")
+    assert sorted((r.source, r.question, r.answer) for r in got.collect()) == [("good", "a, b", 2), ("good", "q1", 1)]
+    assert readers.read_table(spark, str(tmp_path), "other string", on_header="skip").count() == 0
+
+
+def test_csv_bad_rows_go_whatever_is_selected(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("question,answer\nq1,1\nbad,x\nq2,2\n")
+    got = readers.read_table(spark, str(tmp_path), "question string, answer int")
+    assert got.count() == 2 and sorted(r.question for r in got.select("question").collect()) == ["q1", "q2"]
+    kept = readers.read_table(spark, str(tmp_path), "question string, answer int", on_bad="keep")
+    assert kept.count() == 3 and kept.where("answer IS NULL").first().question == "bad"

@@ -142,6 +142,12 @@ def test_slices_respect_limit_or_hold_one_row(spark):
     assert sum(p["k"] for p in parts) == 500
 
 
+def test_slicing_of_single_row_parts_finds_every_part(spark):
+    df = spark.range(5000).select(F.lit("s").alias("source"), F.col("id").alias("ord"))
+    got = slicing.slice_by_size(df, F.lit(20), 12, block_rows=4096)
+    assert got.where("part = ord + 1").count() == 5000
+
+
 def order_of(key, seed=42):
     return md5(f"{seed}:{key}".encode()).hexdigest()
 
@@ -152,8 +158,8 @@ def test_sample_n_skips_small_groups(spark):
     assert sorted(r["id"] for r in got) == sorted(sorted(range(280), key=order_of)[:30])
 
 
-def test_large_samples_take_the_salted_way(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "GROUP_LIMIT", 10)
+def test_samples_of_many_salts(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SALTS", 3)
     df = spark.range(300).select(F.lit("s").alias("source"), "id")
     got = sampling.sample_n(df, "id", 40).collect()
     assert sorted(r["id"] for r in got) == sorted(sorted(range(300), key=order_of)[:40])

@@ -15,7 +15,7 @@ CASES = [
     ('{"boolean": true}', None, "empty", ""),
     ('{"results": {"bindings": {}}}', None, None, "Unexpected results format"),
     ("<html>\nno", None, None, "Invalid JSON: JSONDecodeError: <html> no"),
-    ("x" * 200, None, None, "Invalid JSON: JSONDecodeError: " + "x" * 180 + "…"),
+    ("x" * 200, None, None, "Invalid JSON: JSONDecodeError: " + "x" * 200),
     (None, "Network error: Timeout: t", None, "Network error: Timeout: t"),
 ]
 
@@ -96,3 +96,8 @@ def test_repair_keeps_other_columns_and_null(spark):
     assert [tuple(r) for r in fixed.orderBy("ord").collect()] == [("s", 1, None), ("s", 2, "ASK { }")]
     counts = {r.rule: (r.num_rows, r.changed) for r in audit.collect()}
     assert counts["any"] == (2, 1) and counts["map_prefixes"] == (2, 0)
+
+
+def test_errors_that_differ_late_stay_apart(spark):
+    df = spark.createDataFrame([("x" * 200 + "a",), ("x" * 200 + "b",)], "body string")
+    assert outcomes.distinct_errors(outcomes.normalize_results(df, "body")).count() == 2
