@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The nodes are a page's block elements; each is content or not. A node's own evidence (tag, words of its class, id and role,
-length of its text, share of it inside links) and the potentials between parent and child are counted from labelled pages.
+The nodes are a page's block elements; each is content or not. A node's evidence (tag and words of class, id and
+role of itself and the two elements above, length of its text, share of it inside links) and the potentials between parent and child are counted from labelled pages.
 Sum-product messages go from the leaves up and from the root down; the marginals that they give are exact on a tree. The
 text of the nodes that are likelier content than not, in page order, is the page's text.
 
@@ -59,7 +59,7 @@ class Page:
         self.linked: Counter[int] = Counter()
         self.size: Counter[int] = Counter()
         stack, links, at, held = [0], 0, 0, []
-        hidden = 0
+        hidden, opened = 0, Counter()  # opened: elements on the stack by name
 
         def flush() -> None:
             text = " ".join(entities.unescape("".join(held)).split())
@@ -82,6 +82,7 @@ class Page:
             links = 0
             for node in stack[depth:]:
                 hidden -= self.names[node] in HIDDEN
+                opened[self.names[node]] -= 1
             del stack[depth:]
 
         while match := TAG.search(source, at):
@@ -98,13 +99,13 @@ class Page:
                 add(" ")
                 continue
             if match["end"]:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if opened[name] else ():
                     if self.names[stack[depth]] == name:
                         close(depth)
                         break
                 continue
             group, fence = SIBLINGS.get(name, ({"p"}, {"td", "th", "li", "dd"}) if name in PARAGRAPH_ENDS else ((), ()))
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(map(opened.__getitem__, group)) else ():
                 if self.names[stack[depth]] in group:
                     close(depth)
                     break
@@ -129,17 +130,24 @@ class Page:
                 at = after
                 continue
             stack.append(len(self.names) - 1)
+            opened[name] += 1
             hidden += name in HIDDEN
         add(source[at:])
         flush()
 
     def features(self, node: int) -> list[str]:
-        """Evidence of a node by itself."""
+        """Evidence of a node: its own, and the tags and words of the two elements above it."""
         size, linked = self.size[node], self.linked[node]
         out = [f"tag {self.names[node]}", f"size {min(6, size.bit_length() // 2) if size else 'none'}"]
         if size:
             out.append(f"links {4 * linked // size}")
-        return out + [f"word {w}" for w in self.words[node]]
+        out += [f"word {w}" for w in self.words[node]]
+        above = self.parents[node]
+        for _ in range(2):
+            if above > 0:
+                out += [f"under {self.names[above]}", *(f"under word {w}" for w in self.words[above])]
+                above = self.parents[above]
+        return out
 
 
 #: Labelled pages, authored: content is marked by data-main.
@@ -177,6 +185,35 @@ LABELLED = [
     '<p data-main>It was seen for eleven minutes only, and then the clouds came and stayed for a week.</p><div class="ad-slot ads advertisement"><p>Telescopes for everyone, now with free delivery to your door.</p></div>'
     '<footer class="tags meta"><a>Stars</a> <a>Light</a></footer></article><div class="newsletter subscribe signup"><form><p>Get the best stories of the week by mail every Friday.</p><input><button>Go</button></form></div>'
     '<div id="disqus_thread" class="responses replies discussion"><p>Readers wrote: what a lovely story this was, I have read it to my children twice.</p></div></body>',
+    '<body><main data-main><h1 data-main>A short note</h1><p data-main>One line of it.</p><aside><p>More notes like this one are kept in the archive</p></aside><nav><ul><li><a>Next</a></li></ul></nav>'
+    '<section class="comments"><p>A reader wrote that the note was too short</p></section></main><aside><p>From the same hand</p></aside><footer><p>Written at home.</p></footer></body>',
+    '<body><article data-main><p data-main>Two trains leave the station at the same time and neither of them is late.</p><aside class="notice"><p>This story is for members, please sign in to read on</p></aside>'
+    '<footer><p>Filed under trains and stations</p></footer></article><form><p>Write to us</p></form></body>',
+    # comments in other dress, and headers with title and motto
+    '<body><header><h1>The Weekly Letter</h1><p>Everything about the town and the land around it</p></header><div id="header"><h1>Town and Country</h1></div><div class="post" data-main><h1 data-main>A new bridge</h1>'
+    '<p data-main>The bridge over the river will be open in spring, two years after the old one was closed.</p><table data-main><tr data-main><td data-main>Length</td></tr></table><ul data-main><li data-main>Two lanes</li></ul></div>'
+    '<section class="comments"><h2>Comments</h2><article class="comment"><p>At last, I have waited for that bridge longer than for anything else in my life!</p></article><ol class="comment-list"><li class="comment"><p>Me too.</p></li></ol></section>'
+    '<div id="cookies">This page stores small files on your device.</div><section class="sponsored"><p>Paint for every bridge, now in all colours you can think of.</p></section></body>',
+    '<body><header><p>Welcome to our site</p><h1>Our Site</h1></header><article data-main><h1 data-main>Rain</h1><pre data-main>drop drop</pre><blockquote data-main>It rained for a week.</blockquote><p data-main>Then it stopped.</p></article>'
+    '<div id="comments"><h3>Replies</h3><article class="comment"><p>Here it still rains and it does not look as if it would stop.</p></article><article class="comment"><p>Same.</p></article></div></body>',
+    '<body><header><h1>Garden Notes</h1></header><div class="header"><h1>Garden</h1><p>Notes</p></div><article data-main><h2 data-main>Beans</h2><ul data-main><li data-main>Beans want warm soil and a pole that is taller than you think they will ever need.</li>'
+    '<li data-main>Water them at the root and never on the leaves, and in the evening rather than at noon.</li></ul><p data-main>That is all there is to it.</p></article><header><h1>Garden Notes</h1></header></body>',
+    '<body><div id="header"><h1>Sea Watch</h1></div><header><h1>Sea Watch</h1></header><main data-main><article data-main><p data-main>The sea was calm.</p><p data-main>Nothing was seen from the tower on that day but a few gulls and one grey boat.</p></article></main></body>',
+    '<body><article data-main><p data-main>A page of one article with one paragraph of middling length.</p></article></body>',
+    '<body><article data-main><p data-main>What there was to say is said in one sentence.</p><section class="comments"><div class="comment"><p>Well said, and short, which I like best of all.</p></div></section></article></body>',
+    '<body><article data-main><h1 data-main>Keys</h1><p data-main>Lost and found.</p><form><label>Mail</label><textarea>text</textarea></form></article><footer>The end</footer></body>',
+    '<article data-main><h1 data-main>Hats</h1><p data-main>A hat keeps the sun off and the rain too.</p><p data-main>It does nothing against wind.</p></article>',
+    '<body><article data-main><ol data-main><li data-main>Close the door behind you when you leave the house in the morning, and leave the key with the neighbour.</li><li data-main>Do not forget it.</li></ol></article></body>',
+    '<body><div class="article" data-main><h1 data-main>Snow</h1><p data-main>It snowed all night and in the morning the road was gone.</p></div></body>',
+    # boilerplate inside the main part
+    '<body><div class="post" data-main><h1 data-main>Tea</h1><p data-main>A few words about it that fill about a line of text.</p>'
+    '<ul data-main><li data-main>Some of it</li></ul><div class="menu"><a>One</a></div><aside><p>More of this</p></aside><aside>More</aside><footer>End of it</footer><form><label>Mail</label><button>Send</button></form><div class="notice">Members only, please.</div><div class="ad">Buy now.</div><div class="advert">Buy this.</div><div class="share"><a>Share</a></div><div id="cookies">We store cookies.</div><nav><a>Up</a></nav><p data-main>Short.</p></div></body>',
+    '<body><div id="content" data-main><h1 data-main>Salt</h1><p data-main>A few words about it that fill about a line of text.</p>'
+    '<ul data-main><li data-main>Some of it</li></ul><div class="menu"><a>One</a></div><aside><p>More of this</p></aside><aside>More</aside><footer>End of it</footer><form><label>Mail</label><button>Send</button></form><div class="notice">Members only, please.</div><div class="ad">Buy now.</div><div class="advert">Buy this.</div><div class="share"><a>Share</a></div><div id="cookies">We store cookies.</div><nav><a>Up</a></nav><p data-main>Short.</p></div></body>',
+    '<body><div class="article body" data-main><h1 data-main>Soap</h1><p data-main>A few words about it that fill about a line of text.</p>'
+    '<ul data-main><li data-main>Some of it</li></ul><div class="menu"><a>One</a></div><aside><p>More of this</p></aside><aside>More</aside><footer>End of it</footer><form><label>Mail</label><button>Send</button></form><div class="notice">Members only, please.</div><div class="ad">Buy now.</div><div class="advert">Buy this.</div><div class="share"><a>Share</a></div><div id="cookies">We store cookies.</div><nav><a>Up</a></nav><p data-main>Short.</p></div></body>',
+    '<body><div role="main" data-main><h1 data-main>Wool</h1><p data-main>A few words about it that fill about a line of text.</p>'
+    '<ul data-main><li data-main>Some of it</li></ul><div class="menu"><a>One</a></div><aside><p>More of this</p></aside><aside>More</aside><footer>End of it</footer><form><label>Mail</label><button>Send</button></form><div class="notice">Members only, please.</div><div class="ad">Buy now.</div><div class="advert">Buy this.</div><div class="share"><a>Share</a></div><div id="cookies">We store cookies.</div><nav><a>Up</a></nav><p data-main>Short.</p></div></body>',
     '<body><nav><p>Skip to content</p></nav><main data-main><p data-main>Text in the main part.</p><form class="search"><p>Search this site for words</p></form><div class="popup modal overlay"><p>Do not leave yet, there is so much more to see here for you.</p></div>'
     '<div class="content" data-main>Bare words stand in a division of the main part without any paragraph around them at all.</div></main><footer><ul><li>Imprint</li><li>Privacy</li></ul><p>All prices include the tax where it applies.</p></footer></body>',
 ]
@@ -185,7 +222,7 @@ LABELLED = [
 class Model:
     """Log potentials counted from labelled pages."""
 
-    def __init__(self, pages: Iterable[Page], weight: float = 0.3) -> None:
+    def __init__(self, pages: Iterable[Page], weight: float = 0.2) -> None:
         seen, pairs, total = (Counter(), Counter()), Counter(), Counter()
         for page in pages:
             for node in range(1, len(page.names)):

@@ -64,7 +64,7 @@ class Model:
     prior: float
 
     def terms(self, measured: np.ndarray) -> np.ndarray:
-        d, r = ((features(measured) - self.centre) / self.spread).T
+        d, r = np.clip((features(measured) - self.centre) / self.spread, -4, 4).T  # no extrapolation of the squares
         return np.stack([np.ones_like(d), d, r, d * r, d * d, r * r], axis=1)
 
     def score(self, measured: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.terms(measured) @ self.weights, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -103,12 +103,14 @@ def train(documents: DataFrame, labels: DataFrame, dictionary_rows: int = 1000,
     """``labels`` are the rows to learn from."""
     spark = documents.sparkSession
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
+    # one half of the ids is for the dictionaries, the other for the regression, so that it sees unknown texts
+    half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))
     order = [F.xxhash64("id"), F.col("id")]
-    picked = known.where("label = 0").orderBy(*order).limit(dictionary_rows).unionByName(known.where("label = 1").orderBy(*order).limit(dictionary_rows))
-    picked = picked.withColumn("use", F.lit(0)).unionByName(known.orderBy(F.xxhash64(F.lit("calibration"), "id"), "id").limit(calibration_rows).withColumn("use", F.lit(1)))
+    picked = known.where((half == 1)).orderBy(*order).limit(calibration_rows).withColumn("use", F.lit(1))
+    for y in (0, 1):
+        some = known.where((half == 0) & (F.col("label") == y)).orderBy(*order).limit(dictionary_rows)
+        picked = picked.unionByName(some.withColumn("use", F.lit(0)))
     rows = picked.collect()  # 2 * dictionary_rows + calibration_rows ids at most
-    first = {(r["id"], r["label"]) for r in rows if r["use"] == 0}
-    rows = [tuple(r) for r in rows if r["use"] == 0 or (r["id"], r["label"]) not in first]
     sample = spark.createDataFrame(rows, picked.schema)
     texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
     labelled = written(texts.join(F.broadcast(sample), "id").select("text", "label", "use"))
@@ -122,6 +124,8 @@ def train(documents: DataFrame, labels: DataFrame, dictionary_rows: int = 1000,
                 out["block"].append(blocks[i])
         yield out
 
+    if labelled.where("use = 0").select("label").distinct().count() < 2:  # too few rows for two halves
+        labelled = labelled.withColumn("use", F.lit(0)).unionByName(labelled.withColumn("use", F.lit(1)))
     blocks = map_batches(labelled.where("use = 0").select("label", "text"), pick, "label int, block binary").collect()
     by_label = {y: sorted(bytes(r["block"]) for r in blocks if r["label"] == y) for y in (0, 1)}
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -132,7 +136,7 @@ def train(documents: DataFrame, labels: DataFrame, dictionary_rows: int = 1000,
         return Model(b"", b"", zero, one, None, prior)
     good, bad = (dictionary(by_label[y]) for y in (1, 0))
     held = measure(labelled.where("use = 1").select("label", "text"), good, bad, "label int").collect()
-    if len({r["label"] for r in held}) < 2:  # too few rows to hold some out
+    if len({r["label"] for r in held}) < 2:
         held = measure(labelled.select("label", "text"), good, bad, "label int").collect()
     measured = np.array([(r["size"], r["good"], r["bad"]) for r in held])
     x = features(measured)
