@@ -93,8 +93,6 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-ORACLES: dict[str, str] = {}
-
 QUERIES = {
     "op1_chat_format": formatted_conversations,
     "op2_token_counts": document_token_counts,
