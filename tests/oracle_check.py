@@ -1,4 +1,4 @@
-"""Compare every registered query with its SQL equivalent: ``python tests/check_oracle.py <sf_dir> [names]``."""
+"""Compare every registered query with its SQL equivalent: ``python tests/oracle_check.py <sf_dir> [names]``."""
 
 from __future__ import annotations
 
