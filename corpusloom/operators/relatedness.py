@@ -36,6 +36,18 @@ def token_relatedness(df: DataFrame, key: Sequence[str], left: Column, right: Co
     return counts.groupBy(*key).agg(F.coalesce(score, F.lit(0.0)).alias(name))
 
 
+def group_relatedness(groups: DataFrame, name: str = "similarity_score") -> DataFrame:
+    """Score of each grouped table (``source, table, segment, num_pairs, qas``) against the text of its pairs.
+
+    Returns the groups' rows with the score of their table.  The tokens travel with a digest of the table, the texts are
+    joined to the scores at the end.
+    """
+    keyed = groups.withColumn("_key", F.sha2(F.col("table"), 256))
+    table_once = F.when(F.col("segment") == 0, tx.strip_punct(F.col("table"))).otherwise("")
+    scores = token_relatedness(keyed, ["source", "_key"], table_once, F.col("qas"), name)
+    return keyed.join(scores, ["source", "_key"]).drop("_key")
+
+
 def embedding_relatedness(
     df: DataFrame,
     left: Column,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import classify as cl
 from ..functions import text as tx
 from ..operators import compare, crosstab, extract, grouping, outcomes, relatedness, repair, sampling, slicing, topics
+from ..sources import readers, reports, writers
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,10 +463,7 @@ def relatedness_questions(spark, sf):
 @query
 def relatedness_groups(spark, sf):
     """Table text against the text of all its pairs; the segments of a large group add up."""
-    groups = _clean_groups(spark, sf)
-    table_once = F.when(F.col("segment") == 0, tx.strip_punct(F.col("table"))).otherwise("")
-    scored = relatedness.token_relatedness(groups, ["source", "table"], table_once, F.col("qas"))
-    return scored.withColumn("similarity_score", _six("similarity_score"))
+    return _group_scores(spark, sf).where("segment = 0").select("source", "table", "similarity_score")
 
 
 @query
@@ -588,3 +586,80 @@ def changed_rows(spark, sf):
     broken = v.broken_queries(spark, sf)
     both = repair.repair_text(broken.withColumn("before", F.col("sparql")))[0]
     return outcomes.changed_count(both, "before", "sparql")
+
+
+# --- exchange: the text side of readers, sinks and reports ---------------------------------------------
+
+
+@query
+def dataset_names(spark, sf):
+    """Dataset names of file names with known and unknown endings."""
+    endings = ("-type.csv", ".grouped.json", ".txt", ".gtqa", ".jsonl", "")
+    name = F.concat("p_name", v._pick(endings, F.col("p_partkey") % len(endings)))
+    return v.table(spark, sf, "part").select("p_partkey", readers.dataset_name(name).alias("dataset"))
+
+
+@query
+def parsed_examples(spark, sf):
+    """Examples back from JSON lines, some of them broken."""
+    record = F.to_json(F.struct("input_seg", "question", "output", F.col("ord").alias("id")))
+    lines = v.examples(spark, sf).select("source", F.when(F.col("ord") % 17 == 3, F.concat(F.lit("{"), record)).otherwise(record).alias("value"))
+    rows = readers.parse_example_lines(lines, ord_col="id")
+    return rows.select("source", "ord", "input_seg", "question", extract.answer_of(F.col("output")).alias("answer"))
+
+
+@query
+def aligned_rows(spark, sf):
+    """Columns with blanks in their names, one missing, in another order."""
+    rows = v.table(spark, sf, "part").select(F.col("p_size").alias("size "), F.col("p_partkey").alias(" id"), F.col("p_name").alias("name"), "p_brand")
+    schema = T.StructType().add("id", "long").add("name", "string").add("size", "long").add("note", "string").add("topic", "string")
+    return extract.align(rows, schema, {"note": "none"})
+
+
+@query
+def unquoted_csv_lines(spark, sf):
+    return writers.unquoted_lines(v.table(spark, sf, "documents").select("source", "doc_id", "lang", "text"))
+
+
+@query
+def group_lines(spark, sf):
+    return writers.flat_lines(grouping.group_claims(v.claims(spark, sf)), order=("segment",))
+
+
+@query
+def metric_report(spark, sf):
+    return reports.report(compare.comparison(_predictions(spark, sf)), markdown=True)
+
+
+@query
+def share_report(spark, sf):
+    counts = crosstab.value_counts(v.table(spark, sf, "events"), "event_type")
+    return reports.share_report(crosstab.with_share(counts, "n", "percent", 100.0), "event_type", "n", "percent")
+
+
+@query
+def outcome_report(spark, sf):
+    rows = outcomes.normalize_results(v.result_documents(spark, sf), "body", "failure")
+    return reports.outcome_report(outcomes.outcome_summary(rows), rows)
+
+
+@query
+def relatedness_group_rows(spark, sf):
+    """Score, pairs, texts, table and source of each group."""
+    return _group_scores(spark, sf)
+
+
+@query
+def relatedness_group_summary(spark, sf):
+    return _six_stats(relatedness.score_summary(_group_scores(spark, sf).where("segment = 0")), "mean", "median", "std", "min", "max")
+
+
+@query
+def relatedness_group_lowest(spark, sf):
+    lowest = relatedness.lowest_k(_group_scores(spark, sf).where("segment = 0"), ties=("source", "table"))
+    return lowest.select("source", "table", "num_pairs", "similarity_score")
+
+
+def _group_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = relatedness.group_relatedness(_clean_groups(spark, sf))
+    return scored.withColumn("similarity_score", _six("similarity_score"))

@@ -570,4 +570,43 @@ ORACLES: dict[str, str] = {
       FROM hits, (SELECT unnest([{items(ALL_RULES)}, 'any']) AS rule) GROUP BY source, rule""",
     "changed_rows": f"""WITH {REPAIRED} SELECT source, count(*) AS num_rows, count(*) FILTER (before <> sparql) AS changed
       FROM repaired GROUP BY source""",
+    "dataset_names": r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name || (['-type.csv', '.grouped.json', '.txt', '.gtqa', '.jsonl', ''])[p_partkey % 6 + 1],
+      '\.(?:csv|json|jsonl|txt)$', ''), '(?:-type|\.grouped|\.gtqa)$', '') AS dataset FROM part""",
+    "parsed_examples": f"""WITH {EXAMPLES} SELECT source, ord, input_seg, question, {strip('output')} AS answer FROM examples WHERE ord % 17 <> 3""",
+    "aligned_rows": """SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS size, 'none' AS note, NULL::VARCHAR AS topic FROM part""",
+    "unquoted_csv_lines": r"""SELECT source, doc_id || ',' || lang || ',' || regexp_replace(text, '([\\,\r\n])', '\\\1', 'g') AS value FROM documents""",
+    "group_lines": f"""WITH {CLAIMS} SELECT source, 0::BIGINT AS segment, regexp_replace({_clean_caption} || ' ' || string_agg({_claim}, ' ' ORDER BY ord),
+        '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS value
+      FROM claims GROUP BY source, {_clean_caption}""",
+    "metric_report": f"""WITH {TAU}, tops AS (SELECT a.label AS topic_a, b.label AS topic_b, a.score AS score_a,
+        b.score AS score_b FROM ra a JOIN rb b ON a.vec_id = b.vec_id AND a.rk = 1 AND b.rk = 1), m(line_no, metric, value) AS (
+      SELECT 1, 'Top 1 Topic Agreement Rate', avg((topic_a = topic_b)::INT) FROM tops
+      UNION ALL SELECT 2, 'Top 3 Topic Overlap Rate', (SELECT count(*) FROM ({SHARED})) / (SELECT count(DISTINCT vec_id) FROM ra)
+      UNION ALL SELECT 3, 'Pearson Correlation of Top 1 Scores', {PEARSON} FROM tops
+      UNION ALL SELECT 4, 'Spearman Correlation of Top 1 Scores', {SPEARMAN}
+      UNION ALL SELECT 5, 'Average Kendall’s Tau', avg(tau) FROM tau)
+      SELECT line_no, '- ' || metric || ': ' || coalesce(printf('%.4f', value::DOUBLE), 'nan') AS line FROM m""",
+    "share_report": """SELECT printf('%-30s%-10d%.2f%%', event_type, count(*), count(*) * 100.0::DOUBLE / (SELECT count(*) FROM events)) AS line
+      FROM events GROUP BY event_type""",
+    "outcome_report": f"""WITH {RESULTS}, st AS (SELECT count(*) AS n, count(*) FILTER (obj_values <> 'empty') AS a,
+        count(*) FILTER (obj_values = 'empty') AS b, count(*) FILTER (obj_values IS NULL) AS c FROM results),
+      e AS (SELECT error, row_number() OVER (ORDER BY error) AS k FROM (SELECT DISTINCT error FROM results WHERE error <> ''))
+      SELECT 0 AS section, 0::BIGINT AS number, '# Query Summary' AS line
+      UNION ALL SELECT 1, 0, '**Total rows processed:** ' || n FROM st
+      UNION ALL SELECT 2, 0, printf('- **Non-empty results:** %d (%.2f%%)', a, a * 100.0::DOUBLE / n) FROM st
+      UNION ALL SELECT 2, 1, printf('- **Empty results:** %d (%.2f%%)', b, b * 100.0::DOUBLE / n) FROM st
+      UNION ALL SELECT 2, 2, printf('- **Errors (NaN):** %d (%.2f%%)', c, c * 100.0::DOUBLE / n) FROM st
+      UNION ALL SELECT 3, i, line FROM (VALUES (0, '## Distinct Error Types'), (1, '| # | Error Message |'), (2, '|---|---------------|')) t(i, line)
+      WHERE EXISTS (SELECT * FROM e)
+      UNION ALL SELECT 4, k, '| ' || k || ' | ' || replace(CASE WHEN length(error) > 180 THEN left(error, 180) || '…' ELSE error END, '|', '\\|') || ' |' FROM e""",
+    "relatedness_group_rows": f"""WITH {CLEAN_GROUPS}, texts AS (SELECT source, "table", {no_punct('"table"')} AS l, qas AS r
+      FROM grouped), scored AS (WITH {term_cosine('texts', 'source, "table"')}) SELECT g.*, similarity_score FROM grouped g JOIN scored USING (source, "table")""",
+    "relatedness_group_summary": f"""WITH {CLEAN_GROUPS}, texts AS (SELECT source, "table", {no_punct('"table"')} AS l, qas AS r
+      FROM grouped), sim AS (WITH {term_cosine('texts', 'source, "table"')}) SELECT coalesce(source, 'ALL_FILES') AS source,
+        round(avg(similarity_score), 6) AS mean, round(median(similarity_score), 6) AS median,
+        round(stddev_samp(similarity_score), 6) AS std, round(min(similarity_score), 6) AS min,
+        round(max(similarity_score), 6) AS max, count(*) AS "count" FROM sim GROUP BY ROLLUP (source)""",
+    "relatedness_group_lowest": f"""WITH {CLEAN_GROUPS}, texts AS (SELECT source, "table", {no_punct('"table"')} AS l, qas AS r
+      FROM grouped), sim AS (WITH {term_cosine('texts', 'source, "table"')}) SELECT source, "table", num_pairs, similarity_score
+      FROM grouped JOIN sim USING (source, "table") ORDER BY similarity_score, source, "table" LIMIT 100""",
 }

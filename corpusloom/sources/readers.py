@@ -53,14 +53,17 @@ def read_example_lines(
     ``ord`` comes from a field of the record where there is one.  Otherwise it is a generated id that is
     increasing within a file of one read; write the frame once before using it as a key.
     """
+    return parse_example_lines(spark.read.text(path).select(dataset_name(file_name()).alias("source"), "value"), fields, ord_col)
+
+
+def parse_example_lines(lines: DataFrame, fields: str = EXAMPLE_FIELDS, ord_col: str | None = None) -> DataFrame:
+    """Examples of the JSON records in ``value`` of ``source, value``; broken ones are skipped."""
     corrupt = "_corrupt"
     extra = f", {ord_col} bigint" if ord_col else ""
     record = F.from_json(
         "value", f"{fields}{extra}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt}
     )
-    raw = spark.read.text(path).select(dataset_name(file_name()).alias("source"), record.alias("_r")).select(
-        "source", "_r.*"
-    )
+    raw = lines.select("source", record.alias("_r")).select("source", "_r.*")
     order = F.col(ord_col) if ord_col else F.monotonically_increasing_id()
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
     return raw.where(F.col(corrupt).isNull()).select("source", order.cast("bigint").alias("ord"), *names)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..operators.outcomes import STATUSES, distinct_errors
+from ..operators.outcomes import STATUSES
+
+# Characters of an error message that form a block of the numbering.
+BLOCK_CHARS = 24
 
 
 def fixed(value: Column, digits: int = 4) -> Column:
@@ -26,30 +29,40 @@ def share_report(shares: DataFrame, label: str, n: str, percent: str) -> DataFra
     return shares.orderBy(F.desc(n), label).select(line.alias("line"))
 
 
-def outcome_report(summary: DataFrame, errors: DataFrame) -> DataFrame:
-    """Markdown lines of an outcome summary and its distinct error messages.
+def outcome_report(summary: DataFrame, errors: DataFrame, title: str = "Query Summary") -> DataFrame:
+    """Markdown lines ``section, number, line`` of an outcome summary and its distinct error messages.
 
-    Errors keep their order through a sort key instead of a running number, so no task sees all of them.
+    Messages are cut for display, but two that differ are two rows.  They are numbered in order: within blocks of one
+    beginning, after the messages of all blocks before, so no task sorts all of them.
     """
     # Report wording.
     titles = dict(zip(STATUSES, ("Non-empty results", "Empty results", "Errors (NaN)")))
-    head = summary.where(F.col("status") == "TOTAL").select(
-        F.lit(0).alias("section"), F.lit("").alias("sort_key"),
-        F.concat(F.lit("**Total rows processed:** "), F.col("n").cast("string")).alias("line"),
-    )
-    body = None
-    for i, (status, title) in enumerate(titles.items()):
-        line = F.format_string(f"- **{title}:** %d (%.2f%%)", F.col("n"), F.col("percent"))
-        part = summary.where(F.col("status") == status).select(
-            F.lit(1).alias("section"), F.lit(str(i)).alias("sort_key"), line.alias("line")
-        )
-        body = part if body is None else body.unionByName(part)
+
+    def of(status: str, column: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("status") == status, F.col(column))), F.lit(0))
+
+    def row(section: int, number: int, line: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(number).cast("bigint").alias("number"), line.alias("line"))
+
+    lines = [
+        row(0, 0, F.lit(f"# {title}")),
+        row(1, 0, F.concat(F.lit("**Total rows processed:** "), of("TOTAL", "n").cast("string"))),
+        *[row(2, i, F.format_string(f"- **{name}:** %d (%.2f%%)", of(status, "n"), of(status, "percent").cast("double")))
+          for i, (status, name) in enumerate(titles.items())],
+    ]
+    head = summary.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
+    found = errors.select("error").where(F.col("error") != "").distinct().withColumn("_block", F.substring("error", 1, BLOCK_CHARS))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("error"))
+    numbered = found.withColumn("_inside", inside).join(blocks, "_block").select(F.col("_before") + F.col("_inside"), "error").toDF("number", "error")
     safe = F.replace(tx.truncate(F.col("error")), F.lit("|"), F.lit("\\|"))
-    tail = distinct_errors(errors).select(
-        F.lit(2).alias("section"), F.col("error").alias("sort_key"),
-        F.concat(F.lit("| "), safe, F.lit(" |")).alias("line"),
+    tail = numbered.select(
+        F.lit(4).alias("section"), "number", F.concat(F.lit("| "), F.col("number").cast("string"), F.lit(" | "), safe, F.lit(" |")).alias("line")
     )
-    return head.unionByName(body).unionByName(tail).orderBy("section", "sort_key")
+    table = F.array(*[row(3, i, F.lit(t)) for i, t in enumerate(("## Distinct Error Types", "| # | Error Message |", "|---|---------------|"))])
+    opening = found.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(F.inline(table))
+    return head.unionByName(opening).unionByName(tail).orderBy("section", "number")
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -14,10 +14,7 @@ def write_by_source(df: DataFrame, path: str, fmt: str = "parquet", style: str =
     separators and line breaks inside a field stand behind a backslash, and there is no header line.
     """
     if fmt == "csv" and style == "none":
-        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c != by]
-        escaped = [F.regexp_replace(f, r"([\\,\r\n])", r"\\$1") for f in fields]
-        line = F.concat_ws(",", *escaped).alias("value")
-        df.select(by, line).write.mode("overwrite").partitionBy(by).text(path)
+        unquoted_lines(df, by).write.mode("overwrite").partitionBy(by).text(path)
         return
     out = df.write.mode("overwrite").partitionBy(by)
     if fmt == "csv":
@@ -26,10 +23,27 @@ def write_by_source(df: DataFrame, path: str, fmt: str = "parquet", style: str =
         out.format(fmt).save(path)
 
 
-def write_lines(df: DataFrame, path: str, line: str = "line", by: str = "source") -> None:
-    """Text files per source, one row per line, in (source, order) given by the frame."""
-    flat = F.regexp_replace(F.col(line), r"\R", " ")
-    df.select(by, flat.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+def unquoted_lines(df: DataFrame, by: str = "source") -> DataFrame:
+    """``by`` and ``value``: all other columns as one unquoted CSV line."""
+    fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c != by]
+    escaped = [F.regexp_replace(f, r"([\\,\r\n])", r"\\$1") for f in fields]
+    return df.select(by, F.concat_ws(",", *escaped).alias("value"))
+
+
+def flat_lines(df: DataFrame, line: str = "line", by: str = "source", order: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, ``order`` and ``value``: the line without line breaks."""
+    return df.select(by, *order, F.regexp_replace(F.col(line), r"\R", " ").alias("value"))
+
+
+def write_lines(df: DataFrame, path: str, line: str = "line", by: str = "source", order: tuple[str, ...] = ()) -> None:
+    """Text files per source, one row per line; within a file lines stand in the order of the columns ``order``.
+
+    Sources are dealt out by range of (source, order), so a large source spans several files that follow each other.
+    """
+    flat = flat_lines(df, line, by, order)
+    if order:
+        flat = flat.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    flat.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 
 
 def write_slices(
