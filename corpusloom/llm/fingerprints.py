@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import utf8, written
 
 #: Cells of a stored fingerprint (a multiple of 3), words of a paragraph at most, bytes of text in a block.
-CELLS, WORDS, BLOCK = 15, 8, 1 << 20
+CELLS, WORDS, BLOCK = 12, 8, 1 << 20
 STEP, SEEDS = np.uint64(0x9E3779B97F4A7C15), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -131,10 +131,10 @@ class Tables:
 
     def texts(self) -> list[str]:
         """Each table as text: count, key and check of every cell."""
-        packed = np.zeros(len(self.count), [("n", "<i4"), ("key", "<u8"), ("check", "<u4")])
-        packed["n"], packed["key"], packed["check"] = self.count, self.key, self.check & np.uint64(0xFFFFFFFF)
-        whole = packed.tobytes()
-        return [base64.b64encode(whole[a * 16 : b * 16]).decode() for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+        packed = np.zeros(len(self.count), [("n", "<i4"), ("key", "<u8"), ("check", "<u2")])
+        packed["n"], packed["key"], packed["check"] = self.count, self.key, self.check & np.uint64(0xFFFF)
+        whole, width = packed.tobytes(), packed.itemsize
+        return [base64.b64encode(whole[a * width : b * width]).decode() for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
 
 
 Digests = tuple[np.ndarray, np.ndarray]
@@ -195,8 +195,9 @@ def compared(pairs: list[tuple[str, str]]) -> list[list]:
 def version_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ``COLUMNS`` of every row; each is followed by the one with the next smaller key, the last by the first."""
     narrow = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("key").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are cut on narrow values only: their sample goes to the driver
+    order = [F.col("key").desc_nulls_last(), F.xxhash64("text")]
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = narrow.schema["key"].dataType
