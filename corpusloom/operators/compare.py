@@ -166,10 +166,16 @@ def disagreements(df: DataFrame, a: str = "topics_a", b: str = "topics_b") -> Da
     return df.where(~_same_top(F.col(a), F.col(b))).withColumns(gaps)
 
 
-def topic_counts(df: DataFrame, topics: str, rank: int, name: str = "n") -> DataFrame:
-    """Rows per topic at a 1-based rank, most frequent first; missing topics are not counted."""
-    label = F.get(F.col(topics), F.lit(rank - 1))["label"]
+def topic_counts(df: DataFrame, sides: dict[str, str], ranks: int = TOP, name: str = "n") -> DataFrame:
+    """Rows per predictor, 1-based rank and topic, in one pass; ``sides`` names the topic column of each predictor.
+
+    Missing topics are not counted.
+    """
+    entries = F.array(*[
+        F.struct(F.lit(side).alias("predictor"), F.lit(i + 1).alias("rank"), F.get(F.col(c), F.lit(i))["label"].alias("topic"))
+        for side, c in sides.items() for i in range(ranks)
+    ])
     return (
-        df.select(label.alias("topic")).where(F.col("topic").isNotNull())
-        .groupBy("topic").agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), "topic")
+        df.select(F.inline(entries)).where(F.col("topic").isNotNull())
+        .groupBy("predictor", "rank", "topic").agg(F.count(F.lit(1)).alias(name))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 
@@ -70,14 +70,19 @@ def outcome_summary(df: DataFrame) -> DataFrame:
     """Rows and percentage per status, plus a ``TOTAL`` row."""
     counts = df.groupBy(outcome_status(df).alias("status")).agg(F.count(F.lit(1)).alias("_n"))
     rolled = counts.rollup("status").agg(F.sum("_n").alias("n"), F.grouping_id().alias("_pooled"))
-    total = counts.agg(F.sum("_n").alias("total")).scalar()
+    # over the four rows of the result; the rows themselves are read once
+    total = F.max("n").over(Window.partitionBy(F.lit(0)))
     name = F.when(F.col("_pooled") == 1, "TOTAL").otherwise(F.col("status"))
     return rolled.select(name.alias("status"), "n", F.try_divide(F.col("n") * F.lit(100.0), total).alias("percent"))
 
 
 def distinct_errors(df: DataFrame) -> DataFrame:
-    """Distinct error messages in order."""
-    return df.select("error").where(F.col("error") != "").distinct().orderBy("error")
+    """Distinct error messages in order.
+
+    The empty one goes after grouping, by an aggregate: a filter on the text itself would be pushed below and repeat the parse.
+    """
+    found = df.groupBy("error").agg(F.bool_or(F.col("error") != "").alias("_real"))
+    return found.where("_real").select("error").orderBy("error")
 
 
 def changed_count(df: DataFrame, before: str, after: str, by: str = "source") -> DataFrame:

@@ -418,17 +418,7 @@ def disagreeing_vectors(spark, sf):
 
 @query
 def topic_counts(spark, sf):
-    pairs = _predictions(spark, sf)
-    parts = [
-        compare.topic_counts(pairs, f"topics_{side}", rank).select(
-            F.lit(side).alias("predictor"), F.lit(rank).alias("rank"), "topic", "n"
-        )
-        for side in ("a", "b") for rank in (1, 2, 3)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return compare.topic_counts(_predictions(spark, sf), {"a": "topics_a", "b": "topics_b"})
 
 
 # --- relatedness --------------------------------------------------------------------------------------

@@ -35,11 +35,12 @@ def test_outcome_summary_and_report(results):
     summary = outcomes.outcome_summary(results)
     assert {r.status: r.n for r in summary.collect()} == {"non_empty": 1, "empty": 3, "error_nan": 4, "TOTAL": 8}
     lines = [r.line for r in reports.outcome_report(summary, results).collect()]
-    assert lines[:4] == [
+    assert lines[1:5] == [
         "**Total rows processed:** 8", "- **Non-empty results:** 1 (12.50%)", "- **Empty results:** 3 (37.50%)",
         "- **Errors (NaN):** 4 (50.00%)",
     ]
-    assert len(lines) == 8
+    assert lines[5:8] == ["## Distinct Error Types", "| # | Error Message |", "|---|---------------|"]
+    assert [x.split(" | ")[0] for x in lines[8:]] == ["| 1", "| 2", "| 3", "| 4"]
 
 
 def test_published_outcome_counts(spark):
@@ -101,3 +102,8 @@ def test_repair_keeps_other_columns_and_null(spark):
 def test_errors_that_differ_late_stay_apart(spark):
     df = spark.createDataFrame([("x" * 200 + "a",), ("x" * 200 + "b",)], "body string")
     assert outcomes.distinct_errors(outcomes.normalize_results(df, "body")).count() == 2
+
+
+def test_distinct_errors_parse_each_body_once(results):
+    plan = outcomes.distinct_errors(results)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
