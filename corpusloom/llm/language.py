@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, slices, written
+from corpusloom.llm.common import keep_rows, map_batches, slices, written
 
 ORDER, HASH_BITS = 4, 24
 #: Characters scored at once, and distinct grams that a task holds before it hands them on.
@@ -127,6 +127,11 @@ class Model:
         at, there = find(hashes, fold(codes >> np.uint64(16), order - 1))
         return np.where(there[:, None], values[at], np.float32(0))
 
+    def rejected(self, letters: np.ndarray, best: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+        """Whether a text has no letters or too high a cross-entropy; a short one's mean strays further and has more room."""
+        limit = self.limit if self.limit is not None else np.full(len(self.langs), np.inf)
+        return (letters == 0) | (entropy > limit[best] * (1 + 10 / np.maximum(letters, 1)))
+
     def entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its number of letters and, for each language, the cross-entropy per character in nats."""
         codes, row = grams(texts)
@@ -225,30 +230,41 @@ def entropies(documents: DataFrame, model: Model, key: str, text: str) -> DataFr
         for part in slices(batch, "text", SLICE):
             n = part.num_rows
             if not fitted.langs:
-                yield {"key": part.column("key"), "letters": np.zeros(n, int), "best": np.zeros(n, int), "entropy": np.zeros(n), "score": np.zeros(n)}
+                yield {"key": part.column("key"), "letters": np.zeros(n, int), "best": np.zeros(n, int), "entropy": np.zeros(n), "score": np.zeros(n), "rejected": np.ones(n, bool)}
                 continue
             lettered, each = fitted.entropy(part.column("text").to_pylist())
             best = each.argmin(axis=1)
             least = each[np.arange(n), best]
             share = 1 / np.exp(np.minimum(lettered, EVIDENCE)[:, None] * (least[:, None] - each)).sum(axis=1)
-            yield {"key": part.column("key"), "letters": lettered, "best": best, "entropy": least, "score": np.where(lettered > 0, share, 0.0)}
+            yield {"key": part.column("key"), "letters": lettered, "best": best, "entropy": least, "score": np.where(lettered > 0, share, 0.0),
+                   "rejected": fitted.rejected(lettered, best, least)}
 
     narrow = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return map_batches(narrow, run, f"key {kind}, letters bigint, best int, entropy double, score double").withColumnRenamed("key", key)
+    return map_batches(narrow, run, f"key {kind}, letters bigint, best int, entropy double, score double, rejected boolean").withColumnRenamed("key", key)
 
 
 def identify(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ``lang_pred`` (``und`` without letters), ``score``, ``entropy`` and ``rejected`` of every row's whole text."""
     found = entropies(documents, model, key, text)
     if not model.langs:
-        return found.select(key, F.lit("und").alias("lang_pred"), "score", "entropy", F.lit(True).alias("rejected"))
+        return found.select(key, F.lit("und").alias("lang_pred"), "score", "entropy", "rejected")
     names = F.array(*[F.lit(x) for x in model.langs])
-    limits = F.array(*[F.lit(float(x)) for x in (model.limit if model.limit is not None else [np.inf] * len(model.langs))])
-    at = F.col("best") + 1
-    # a short text's mean strays further: a few characters more of room
-    room = F.element_at(limits, at) * (1 + 10 / F.greatest("letters", F.lit(1)))
     return found.select(
-        key, F.when(F.col("letters") > 0, F.element_at(names, at)).otherwise("und").alias("lang_pred"), "score", "entropy",
-        ((F.col("letters") == 0) | (F.col("entropy") > room)).alias("rejected"),
+        key, F.when(F.col("letters") > 0, F.element_at(names, F.col("best") + 1)).otherwise("und").alias("lang_pred"), "score", "entropy", "rejected"
     )
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text isn't rejected, with all their columns; none without any model."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts: list[str | None]) -> list[bool]:
+        fitted = shared.value
+        if not fitted.langs:
+            return [False] * len(texts)
+        letters, each = fitted.entropy(texts)
+        best = each.argmin(axis=1)
+        return (~fitted.rejected(letters, best, each[np.arange(len(texts)), best])).tolist()
+
+    return keep_rows(documents, text, decide, SLICE)

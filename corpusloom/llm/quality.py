@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, slices, utf8, written
+from corpusloom.llm.common import keep_rows, map_batches, slices, utf8, written
 
 BLOCK, BLOCKS, LEVEL, DICTIONARY = 1024, 8, 3, 1 << 16
 
@@ -154,16 +154,25 @@ def dictionary(blocks: list[bytes]) -> bytes:
         return whole[-DICTIONARY:]
 
 
+def judge(texts: list[str | None], model: Model) -> np.ndarray:
+    """Scores of whole texts."""
+    found = np.array([sizes(t, model.good, model.bad) for t in texts]) if model.weights is not None else np.zeros((len(texts), 3))
+    return model.score(found)
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(documents, text, lambda texts: (judge(texts, shared.value) >= least).tolist())
+
+
 def scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ``score`` (0 to 1, higher is better) of every row's whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        fitted = shared.value
         for part in slices(batch, "text"):
-            texts = part.column("text").to_pylist()
-            found = np.array([sizes(t, fitted.good, fitted.bad) for t in texts]) if fitted.weights is not None else np.zeros((len(texts), 3))
-            yield {"key": part.column("key"), "score": fitted.score(found)}
+            yield {"key": part.column("key"), "score": judge(part.column("text").to_pylist(), shared.value)}
 
     narrow = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()

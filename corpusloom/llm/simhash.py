@@ -235,13 +235,32 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
 
 
+def classes(prints: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` (its smallest key) of every distinct ``fp``."""
+    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    rooted = components(links(distinct, most)).withColumnRenamed("node", "fp")
+    joined = written(distinct.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    return joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (smallest key reachable over links) of every row."""
     prints = written(fingerprints(documents, key, text, width))
-    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    rooted = components(links(distinct, most))
-    joined = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = written(joined)
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(key, "fp", "component_id")
+    return prints.join(classes(prints, key, most), "fp").select(key, "fp", "component_id")
+
+
+def representatives(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest key (rows without key last), of repeated ones
+    any. Components of rows without key keep one, too."""
+    marks = documents.select(F.monotonically_increasing_id().alias("_row"), F.struct(*documents.columns).alias("_all"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in slices(batch, "_text"):
+            fps = np.array([simhash(t, width) for t in part.column("_text").to_pylist()], np.uint64)
+            yield {"_row": part.column("_row"), "_all": part.column("_all"), "fp": fps.view(np.int64)}
+
+    marked = written(map_batches(marks.withColumn("_text", F.col(f"_all.{text}")), run, f"_row bigint, _all {marks.schema['_all'].dataType.simpleString()}, fp bigint"))
+    narrow = marked.select("_row", "fp", F.col(f"_all.{key}").alias("key"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("_row"))).alias("first")
+    chosen = narrow.join(classes(narrow, "key", most).select("fp", "root"), "fp").groupBy("root").agg(first).select("first._row")
+    return marked.join(chosen, "_row", "left_semi").select("_all.*")
