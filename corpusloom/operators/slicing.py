@@ -3,7 +3,8 @@
 Greedy slicing is a left fold: a row opens a new part when the running fill would pass the limit.  The
 effect of a whole block of rows on that fold is a small step function (entry fill -> exit fill, parts
 opened), so blocks are summarised independently, the summaries are folded in order, and each block then
-places its own cuts.  Every step sees only ``(order, size)`` pairs of one bounded block.
+places its own cuts.  Step functions compose, so the fold has two levels: the blocks of a group are composed, the groups of
+a source are folded, and each group then folds its own blocks.  Every step sees only a bounded number of pairs or summaries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .ordering import block_of
 
 SLICE_BYTES = 20_000_000
 BLOCK_ROWS = 1_000_000
+GROUP_BLOCKS = 256
 
 
 def _next_cut(ends: np.ndarray, limit: int) -> np.ndarray:
@@ -49,7 +51,31 @@ def _block_summary(sizes: np.ndarray, limit: int) -> dict[str, object]:
     return {"total": int(ends[-1]), "reach": reach[run_end], "fill": fill[run_end], "cuts": cuts[run_end]}
 
 
-def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, block_rows: int) -> DataFrame:
+def _enter(summary: tuple, fill: int, limit: int) -> tuple[int, int]:
+    """Fill on leaving and parts opened, for one entry fill of a step function ``total, reach, fill, cuts``."""
+    total, reach, fills, cuts = summary
+    at = int(np.searchsorted(reach, limit - fill, side="right"))
+    return (int(fills[at]), int(cuts[at])) if at < len(reach) else (fill + int(total), 0)
+
+
+def _compose(first: tuple, then: tuple, limit: int) -> tuple:
+    """The step function of two neighbours: entries that cut in ``first`` leave it with a known fill; the others pass it,
+    so they meet the steps of ``then`` later by the total of ``first``."""
+    total, reach, fill, cuts = first
+    total_then, reach_then, fill_then, cuts_then = then
+    at = np.searchsorted(reach_then, limit - fill, side="right")
+    beyond = np.minimum(at, len(reach_then) - 1)
+    passed = at >= len(reach_then)
+    fill = np.concatenate((np.where(passed, fill + total_then, fill_then[beyond]), fill_then))
+    cuts = np.concatenate((cuts + np.where(passed, 0, cuts_then[beyond]), cuts_then))
+    reach = np.concatenate((reach, reach_then + total))
+    used = min(int(np.searchsorted(reach, limit, side="right")) + 1, len(reach))  # no entry has more room than the limit
+    fill, cuts, reach = fill[:used], cuts[:used], reach[:used]
+    run_end = np.append((fill[1:] != fill[:-1]) | (cuts[1:] != cuts[:-1]), True)
+    return total + total_then, reach[run_end], fill[run_end], cuts[run_end]
+
+
+def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, block_rows: int, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """Per block: the part that is open on entry and the order values that open further parts."""
     key_type = df.schema[by].dataType
     rows = df.select(
@@ -61,21 +87,35 @@ def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, b
         summary = _block_summary(pdf["_size"].to_numpy(), limit)
         return pd.DataFrame([{by: pdf[by].iloc[0], "_block": pdf["_block"].iloc[0], **summary}])
 
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        whole = None
+        for one in pdf[["total", "reach", "fill", "cuts"]].itertuples(index=False, name=None):
+            whole = one if whole is None else _compose(whole, one, limit)
+        total, reach, fill, cuts = whole
+        head = {by: pdf[by].iloc[0], "_group": pdf["_group"].iloc[0]}
+        return pd.DataFrame([{**head, "total": total, "reach": reach, "fill": fill, "cuts": cuts}])
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, fill, part = None, 0, 0
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                key, block, total, reach, fills, cuts = row
+            for key, group, *summary in pdf.itertuples(index=False, name=None):
                 if key != source:
                     source, fill, part = key, limit + 1, 0  # the first row always opens part 1
-                out.append((key, block, fill, part))
-                at = int(np.searchsorted(reach, limit - fill, side="right"))
-                if at < len(reach):
-                    fill, part = int(fills[at]), part + int(cuts[at])
-                else:
-                    fill += total
-            yield pd.DataFrame(out, columns=[by, "_block", "_fill", "_part"])
+                out.append((key, group, fill, part))
+                fill, opened = _enter(tuple(summary), fill, limit)
+                part += opened
+            yield pd.DataFrame(out, columns=[by, "_group", "_fill", "_part"])
+
+    def unfold(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        fill, part = int(entry["_fill"].iloc[0]), int(entry["_part"].iloc[0])
+        out = []
+        for row in pdf.sort_values("_block")[[by, "_block", "total", "reach", "fill", "cuts"]].itertuples(index=False, name=None):
+            out.append((row[0], row[1], fill, part))
+            fill, opened = _enter(row[2:], fill, limit)
+            part += opened
+        return pd.DataFrame(out, columns=[by, "_block", "_fill", "_part"])
 
     def place(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ord")
@@ -90,8 +130,8 @@ def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, b
             [{by: pdf[by].iloc[0], "_block": pdf["_block"].iloc[0], "_part": part, "_starts": starts}]
         )
 
-    def schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-        return T.StructType([T.StructField(by, key_type), T.StructField("_block", T.LongType())]
+    def schema(*fields: tuple[str, T.DataType], at: str = "_block") -> T.StructType:
+        return T.StructType([T.StructField(by, key_type), T.StructField(at, T.LongType())]
                             + [T.StructField(n, t) for n, t in fields])
 
     longs, one = T.ArrayType(T.LongType()), T.LongType()
@@ -99,10 +139,15 @@ def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, b
     summaries = rows.groupBy(*keys).applyInPandas(
         summarise, schema(("total", one), ("reach", longs), ("fill", longs), ("cuts", longs))
     )
-    entries = (
-        summaries.repartition(by).sortWithinPartitions(by, "_block")
-        .mapInPandas(fold, schema(("_fill", one), ("_part", one)))
+    grouped = summaries.withColumn("_group", block_of(F.col("_block"), group_blocks))
+    groups = [by, "_group"]
+    steps = (("total", one), ("reach", longs), ("fill", longs), ("cuts", longs))
+    openings = (
+        grouped.groupBy(*groups).applyInPandas(compose, schema(*steps, at="_group"))
+        .repartition(by).sortWithinPartitions(*groups)
+        .mapInPandas(fold, schema(("_fill", one), ("_part", one), at="_group"))
     )
+    entries = grouped.groupBy(*groups).cogroup(openings.groupBy(*groups)).applyInPandas(unfold, schema(("_fill", one), ("_part", one)))
     return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
         place, schema(("_part", one), ("_starts", longs))
     )
@@ -115,13 +160,14 @@ def slice_by_size(
     by: str = "source",
     order: str = "ord",
     block_rows: int = BLOCK_ROWS,
+    group_blocks: int = GROUP_BLOCKS,
 ) -> DataFrame:
     """Add the 1-based ``part`` of each row: greedy slices of at most ``limit`` bytes per source.
 
     A part is closed when the next row would pass the limit; a row larger than the limit is a part of its
     own.  A row finds its part among the cuts of its block by binary search, one projection per step.
     """
-    starts = slice_starts(df, size, limit, by, order, block_rows)
+    starts = slice_starts(df, size, limit, by, order, block_rows, group_blocks)
     at = F.col(order).cast("bigint")
     placed = df.withColumn("_block", block_of(at, block_rows)).join(starts, [by, "_block"]).withColumn("_opened", F.lit(0))
     for shift in reversed(range(block_rows.bit_length())):

@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 
 LANGS = ("de", "en", "es", "fr")
 QUOTAS = {"src0": 15, "src1": 15}
-SLICE_LIMIT = 30_000
+SLICE_LIMIT, TIGHT_LIMIT = 30_000, 900
 SEGMENT_LIMIT, SEGMENT_BLOCK = 1_500, 8_000
 # Cue words that occur in the invented prose, three per topic label.
 PROSE_LEXICON = dict(zip(topics.LABELS, (
@@ -534,6 +534,14 @@ def slice_by_size(spark, sf):
     return sliced.select("source", "ord", "part")
 
 
+@query
+def slice_tight(spark, sf):
+    """A limit that most rows pass by themselves, in small blocks and groups."""
+    docs = v.table(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"), "text")
+    sliced = slicing.slice_by_size(docs, F.octet_length("text"), TIGHT_LIMIT, block_rows=64, group_blocks=4)
+    return sliced.select("source", "ord", "part")
+
+
 @query
 def slice_totals(spark, sf):
     docs = v.table(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"), "lang", "text")

@@ -382,6 +382,18 @@ REPAIRED = f"""repaired AS (SELECT p_brand AS source, p_partkey AS ord,
   FROM part)"""
 
 
+def sliced(limit: int) -> str:
+    """Greedy parts of at most ``limit`` bytes, row by row."""
+    return f"""WITH RECURSIVE d AS (SELECT source, doc_id AS ord, strlen(text) AS sz,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+      r AS (SELECT source, ord, rn, sz AS fill, 1::BIGINT AS part FROM d WHERE rn = 1
+        UNION ALL SELECT d.source, d.ord, d.rn,
+          CASE WHEN r.fill + d.sz > {limit} THEN d.sz ELSE r.fill + d.sz END,
+          CASE WHEN r.fill + d.sz > {limit} THEN r.part + 1 ELSE r.part END
+        FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1)
+      SELECT source, ord, part FROM r"""
+
+
 ORACLES: dict[str, str] = {
     "extract_qa": f"""WITH {EXAMPLES} SELECT * FROM (SELECT source, ord, {unquote(_UNWRAPPED)} AS question,
       {unquote(strip('output'))} AS answer FROM examples) WHERE question <> '' AND answer <> ''""",
@@ -520,14 +532,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, lang AS source, CASE WHEN lang = 'en' THEN 15 ELSE 14 END AS quota,
           row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents)
       ORDER BY rn > quota, source, rn LIMIT 100""",
-    "slice_by_size": f"""WITH RECURSIVE d AS (SELECT source, doc_id AS ord, strlen(text) AS sz,
-        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-      r AS (SELECT source, ord, rn, sz AS fill, 1::BIGINT AS part FROM d WHERE rn = 1
-        UNION ALL SELECT d.source, d.ord, d.rn,
-          CASE WHEN r.fill + d.sz > {cat.SLICE_LIMIT} THEN d.sz ELSE r.fill + d.sz END,
-          CASE WHEN r.fill + d.sz > {cat.SLICE_LIMIT} THEN r.part + 1 ELSE r.part END
-        FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1)
-      SELECT source, ord, part FROM r""",
+    "slice_by_size": sliced(cat.SLICE_LIMIT),
+    "slice_tight": sliced(cat.TIGHT_LIMIT),
     "slice_totals": """SELECT coalesce(source, 'ALL') AS source, count(*) AS num_rows,
         sum(strlen(json_object('ord', doc_id, 'lang', lang, 'text', text)::VARCHAR) + 5)::BIGINT AS num_bytes
       FROM documents GROUP BY ROLLUP (source)""",
