@@ -49,15 +49,18 @@ map_prefixes = _then(
 # inside the same name.
 local_names = _sub(rf"({WORD_START}[A-Za-z_][A-Za-z0-9_-]*:|\G(?!\A))([^\s.,;){{}}:]*):", "$1$2_")
 
+# The patterns of the following rules.
 stray_characters = _then(
     lambda c: F.translate(c, "&", " "),
     _sub(r"(?<![<=>!])>(?!\s)", " "),
     lambda c: F.translate(c, "'", ""),
 )
 
+# Pattern and replacement.
 quote_times = _sub(rf'(?<!"){bounded(r"(\p{Nd}{1,2}:\p{Nd}{2})")}(?!")', '"$1"')
 
 _ARG = rf"{INLINE_SPACE}([^,)\n]*?){INLINE_SPACE}"
+# Patterns and replacements.
 contains_arguments = _then(
     _sub(rf"(?i)CONTAINS\s*\(\s*{_ARG},{_ARG}(?:,[^)\n]*)?\s*\)", "CONTAINS($1, $2)"),
     _sub(rf"(?i)CONTAINS\s*\(\s*{_ARG}\s*\)", "CONTAINS($1)"),
@@ -67,6 +70,7 @@ alias_variables = _sub(rf"(?i){WORD_START}AS\s+([A-Za-z_]{WORD}*)", "AS ?$1")
 
 upper_where = _sub(f"(?i){bounded('where')}", "WHERE")
 
+# Keywords, patterns and replacements.
 keywords_and_spacing = _then(
     lambda c: F.trim(F.regexp_replace(c, f"{SPACE}+", " ")),
     _sub(f"(?i){bounded('select')}", "SELECT"),

@@ -110,6 +110,7 @@ def table_prefix(spark, sf):
 
 @query
 def question_prompts(spark, sf):
+    # Fixed value: the instruction.
     return v.qa(spark, sf).select("ord", tx.prompt(F.col("question"), "Create SPARQL Query: ").alias("prompt"))
 
 
