@@ -87,8 +87,8 @@ def format_turns(rows: DataFrame, tokenizer: str, conversation: str = "conv_id",
             known = loaded(tokenizer)
             base = known.get_vocab_size()
             roles, texts = ([x or "" for x in part.column(c).to_pylist()] for c in ("role", "text"))
-            heads = known.encode_batch([escape_role(r) for r in roles], add_special_tokens=False)
-            bodies = known.encode_batch([escape(t) for t in texts], add_special_tokens=False)
+            heads = known.encode_batch_fast([escape_role(r) for r in roles], add_special_tokens=False)
+            bodies = known.encode_batch_fast([escape(t) for t in texts], add_special_tokens=False)
             ids, masks, formatted = [], [], []
             for r, t, head, body in zip(roles, texts, heads, bodies, strict=True):
                 one = np.array([base + OPEN_ID, *head.ids, base + COLON_ID, *body.ids, base + CLOSE_ID], np.int32)
