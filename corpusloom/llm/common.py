@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Maps A-Z to a-z and every other ASCII byte that is no digit or lower-case letter to a blank.
 #: In UTF-8 all bytes of other characters are above 0x7F, so words can be cut on bytes.
@@ -48,30 +49,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to column dicts; ``schema`` is a Spark DDL string."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a function from one batch to column dicts; ``schema`` is a Spark type or DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def keep_rows(df: DataFrame, text: str, decide: Callable[[list[str | None]], list[bool]], most: int = 1 << 20) -> DataFrame:
-    """The rows of ``df`` whose text ``decide`` wants, with all their columns; one map, no join."""
+    """The rows of ``df`` whose text ``decide`` wants, with all their columns; one map, no join.
+
+    The columns go by number meanwhile, so their names may hold anything.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    place = f"c{df.columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, most):
-                yield part.filter(pa.array(decide(part.column(text).to_pylist()), pa.bool_()))
+            for part in slices(batch, place, most):
+                yield part.filter(pa.array(decide(part.column(place).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusloom.llm.common import map_batches, slices
 
@@ -290,6 +291,6 @@ def extract(pages: DataFrame, model: Model | None = None, key: str = "page_id",
             yield {c: part.column(c) for c in others} | {"text": [main_text(h, model) for h in part.column("html").to_pylist()]}
 
     others = [c for c in pages.columns if c not in (html, "text")]
-    narrow = pages.select(*others, F.col(html).alias("html"))
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in others)
-    return map_batches(narrow, run, f"{kinds}, text string")
+    narrow = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html).alias("html"))
+    kinds = StructType([*(narrow.schema[c] for c in others), StructField("text", StringType())])
+    return map_batches(narrow, run, kinds)

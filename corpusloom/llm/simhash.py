@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.common import map_batches, slices, utf8, written
 
@@ -252,15 +253,16 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def representatives(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """One row of each component, with all its columns: that with the smallest key (rows without key last), of repeated ones
     any. Components of rows without key keep one, too."""
-    marks = documents.select(F.monotonically_increasing_id().alias("_row"), F.struct(*documents.columns).alias("_all"))
+    marks = documents.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_all"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "_text"):
             fps = np.array([simhash(t, width) for t in part.column("_text").to_pylist()], np.uint64)
             yield {"_row": part.column("_row"), "_all": part.column("_all"), "fp": fps.view(np.int64)}
 
-    marked = written(map_batches(marks.withColumn("_text", F.col(f"_all.{text}")), run, f"_row bigint, _all {marks.schema['_all'].dataType.simpleString()}, fp bigint"))
-    narrow = marked.select("_row", "fp", F.col(f"_all.{key}").alias("key"))
+    kinds = StructType([*marks.schema.fields, StructField("fp", LongType())])
+    marked = written(map_batches(marks.withColumn("_text", F.col("_all")[text]), run, kinds))
+    narrow = marked.select("_row", "fp", F.col("_all")[key].alias("key"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("_row"))).alias("first")
     chosen = narrow.join(classes(narrow, "key", most).select("fp", "root"), "fp").groupBy("root").agg(first).select("first._row")
     return marked.join(chosen, "_row", "left_semi").select("_all.*")

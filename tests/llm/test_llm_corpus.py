@@ -266,7 +266,7 @@ def test_license_notices(spark):
 
 def test_stages_take_odd_rows(spark, odd):
     """Rows without id and repeated rows: nothing is lost or doubled by a join."""
-    odd = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    odd = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit("a").alias("odd: name."))
     rows = lambda df: sorted((r["doc_id"] or -1, r["text"] or "") for r in df.collect())
     stages = dict(corpus_pipeline.STAGES)
     once = rows(odd.dropDuplicates(["doc_id", "text"]))
