@@ -73,15 +73,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.terms(measured) @ self.weights, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Penalised logistic regression by Newton steps, each halved until the loss falls (classes may be separable)."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         slope = x.T @ (y - p) - ridge * w
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while (then := loss(w + size * step)) > now and size > 1e-8:
+            size /= 2
+        if then >= now - 1e-9:
             break
+        w, now = w + size * step, then
     return w
 
 
