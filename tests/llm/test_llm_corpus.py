@@ -159,6 +159,18 @@ def test_quality_held_out(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.93
 
 
+def test_logistic_on_separable_and_odd_data():
+    draw = np.random.default_rng(3)
+    for scale in (1, 5, 20):
+        d, r = draw.normal(size=(2, 3000)) * scale
+        x = np.stack([np.ones_like(d), d, r, d * r, d * d, r * r], axis=1)
+        y = (d + 0.5 * r < 1.5 * scale).astype(float)
+        w = quality.logistic(x, y)
+        p = 1 / (1 + np.exp(-x @ w))
+        assert np.abs(x.T @ (y - p) - w).max() < 1e-2 * len(y)  # the slope of the penalised loss is flat
+        assert ((p >= 0.5) == y).mean() > 0.97
+
+
 def test_quality_odd_inputs(spark, odd):
     labels = lambda rows: spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in quality.scores(odd, quality.train(odd, labels([]))).collect()} == {0.5}
