@@ -256,12 +256,14 @@ def representatives(documents: DataFrame, key: str = "doc_id", text: str = "text
     marks = documents.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_all"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "_text"):
+        texts = batch.column("_all").field(place)  # no copy of the texts
+        for part in slices(pa.RecordBatch.from_arrays([*batch.columns, texts], ["_row", "_all", "_text"]), "_text"):
             fps = np.array([simhash(t, width) for t in part.column("_text").to_pylist()], np.uint64)
             yield {"_row": part.column("_row"), "_all": part.column("_all"), "fp": fps.view(np.int64)}
 
     kinds = StructType([*marks.schema.fields, StructField("fp", LongType())])
-    marked = written(map_batches(marks.withColumn("_text", F.col("_all")[text]), run, kinds))
+    place = documents.columns.index(text)
+    marked = written(map_batches(marks, run, kinds))
     narrow = marked.select("_row", "fp", F.col("_all")[key].alias("key"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("_row"))).alias("first")
     chosen = narrow.join(classes(narrow, "key", most).select("fp", "root"), "fp").groupBy("root").agg(first).select("first._row")
