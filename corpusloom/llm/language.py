@@ -4,7 +4,8 @@ A gram is four characters (lower-case letters; anything else is one blank), 16 b
 language over all training texts and derives the continuation counts of the lower orders; grams and contexts are then
 hashed to ``HASH_BITS`` bits, which bounds the model whatever the corpus. The driver turns the counts into sorted hash
 arrays, one for grams and one for contexts of each order, with a column per language. A text gets the language of the
-lowest cross-entropy per character; it is rejected if that is far above what held texts of the language have.
+lowest cross-entropy per character; it is rejected if that is far above what labelled texts of the language have that the
+model hasn't seen.
 
 Nulls: a null text, like one without letters, is ``und`` with score 0 and rejected; rows whose language is null are not
 learned from. With no training rows all texts are ``und``. Ties go to the language that sorts first. Repeated rows count
@@ -203,20 +204,25 @@ def fold_series(codes, order: int):
     return pd.Series(fold(codes.to_numpy(np.int64).view(np.uint64), order))
 
 
-def calibrate(model: Model, documents: DataFrame, rows: int = 8000, text: str = "text", key: str = "doc_id") -> Model:
-    """Sets the rejection limits from at most ``rows`` texts (in hash order of the key): for each language the mean
-    cross-entropy plus eight standard deviations, the deviation being at least a twentieth of the mean."""
+def calibrate(model: Model, documents: DataFrame, lang: str = "lang", text: str = "text") -> Model:
+    """Sets the rejection limits from all labelled texts of 100 letters or more; these rows should not be in the model. For each
+    language: the median of the cross-entropy plus eight deviations, a deviation being that of a normal distribution with
+    the same distance from median to 5 % quantile, and at least a twentieth of the median. Neither moves with texts far above
+    the others while these are the minority. A language with fewer than 20 such texts gets the limit of all together."""
     if not model.langs:
         return model
-    ids = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    sample = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids.distinct()), "id")
-    held = entropies(sample, model, "id", "text").select("best", "entropy").where("letters >= 100").toPandas()
-    every = held["entropy"].to_numpy()
+    labelled = documents.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
+    held = entropies(labelled, model, "lang", "text").where("letters >= 100")
+    quantiles = F.percentile_approx("entropy", [0.05, 0.5], 10000).alias("q")
+    found = {r["lang"]: r for r in held.rollup("lang").agg(quantiles, F.count(F.lit(1)).alias("n")).collect()}  # null: all
     limits = []
-    for name in range(len(model.langs)):
-        own = every[held["best"] == name]
-        own = own if len(own) >= 20 else every
-        limits.append(own.mean() + 8 * max(own.std(), own.mean() / 20) if len(own) else np.inf)
+    for name in model.langs:
+        own = found[name] if name in found and found[name]["n"] >= 20 else found.get(None)
+        if own is None or not own["n"]:
+            limits.append(np.inf)
+            continue
+        low, median = own["q"]
+        limits.append(median + 8 * max((median - low) / 1.645, median / 20))
     model.limit = np.array(limits)
     return model
 

@@ -63,9 +63,11 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(documents: DataFrame) -> language.Model:
-    """Learned from the documents that are not held out."""
+    """Learned from the documents that are not held out; a sixteenth of their texts, copies together, sets the rejection limits
+    instead of being counted."""
     learned = documents.where(F.coalesce(fold_of("doc_id", 4), F.lit(0)) != 2)
-    return language.calibrate(language.train(learned), learned)
+    limits = F.pmod(F.xxhash64("text"), F.lit(16)) == 0
+    return language.calibrate(language.train(learned.where(~limits)), learned.where(limits))
 
 
 def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

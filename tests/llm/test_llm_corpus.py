@@ -206,6 +206,26 @@ def test_language_odd_inputs(spark, odd, documents):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["unlearned", "junk", "labelled"])
+def test_language_stage_rejects_what_is_common(spark, kind):
+    """A third of the rows in languages without labels or of random letters, or some junk with a label."""
+    draw = random.Random(4)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = lambda n: [(10000 + i, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(900))) for i in range(n)]
+    if kind == "unlearned":
+        good = known.where("lang = 'de' OR lang = 'en' AND doc_id % 2 = 0")
+        bad = known.where("lang IN ('es', 'fr') AND n_chars > 300").withColumn("lang", F.lit(None).cast("string"))
+    else:
+        good = known
+        bad = spark.createDataFrame(junk(500 if kind == "junk" else 30), "doc_id bigint, text string").withColumns(
+            {"lang": F.lit("en" if kind == "labelled" else None).cast("string"), "source": F.lit("junk"), "n_chars": F.lit(900).cast("bigint")})
+    good = good.where("n_chars > 0")
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, good.unionByName(bad), SF).select("doc_id").collect()}
+    goods, bads = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (good, bad))
+    assert len(kept & bads) <= 0.02 * len(bads)
+    assert len(kept & goods) >= 0.99 * len(goods)
+
+
 # extraction
 
 
