@@ -8,8 +8,8 @@ text of the nodes that are likelier content than not, in page order, is the page
 A page is one row and is read whole in one task; pages don't depend on each other.
 
 Nulls: a null page is empty; a page without content has the empty text. Markup may be broken: unclosed elements end with
-what holds them, stray end tags are skipped, an unclosed comment, script or style runs to the end of the page. Nesting of
-any depth is handled without recursion. Repeated rows are extracted once each. Empty tables give empty results. Other
+what holds them, a head at the first thing that can't stand in one, a drawing at the first block; stray end tags are skipped,
+an unclosed comment, script or style runs to the end of the page. Nesting of any depth is handled without recursion. Repeated rows are extracted once each. Empty tables give empty results. Other
 columns are ignored.
 """
 
@@ -34,11 +34,22 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe svg math object canvas audio video head".split())
-RAW = frozenset("script style noscript template iframe textarea title".split())
+HIDDEN = frozenset("script style template iframe svg canvas audio video head".split())
+RAW = frozenset("script style template iframe textarea title".split())
+#: What may stand in a head (anything else ends an open one); elements of formulas, which are inline.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FORMULA = frozenset(
+    "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split()
+)
+#: Hidden elements that stand open as long as no end tag comes before the next of their kind; then they have no content.
+ENDED = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.IGNORECASE) for name in ("canvas", "audio", "video")}
 PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: What can't stand in a drawing, and so ends one left open; inside the elements named second it can.
+ENDS_DRAWING = PARAGRAPH_ENDS | frozenset("b body big br code dd dt em embed head i img li meta nobr ruby s small span strike strong sub sup td th tr tt u var".split())
+EMBEDDING = ("foreignobject", "desc")
 #: An element that ends an open one of the same group within the nearest of the elements named after it.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -86,12 +97,27 @@ class Page:
                 opened[self.names[node]] -= 1
             del stack[depth:]
 
+        def close_named(name: str) -> None:
+            """Closes the outermost open element of the name."""
+            close(next(depth for depth, node in enumerate(stack) if self.names[node] == name))
+
         while match := TAG.search(source, at):
             if match.start() > at:
+                if opened["head"] and self.names[stack[-1]] in ("head", "noscript") and not source[at : match.start()].isspace():
+                    close_named("head")
                 add(source[at : match.start()])
             at = match.end()
             if not (name := (match["name"] or "").lower()):
                 continue
+            if not match["end"]:
+                if opened["head"] and name not in IN_HEAD:
+                    close_named("head")
+                if opened["svg"] and name in ENDS_DRAWING and not any(map(opened.__getitem__, EMBEDDING)):
+                    close_named("svg")
+            if name in FORMULA:
+                if not match["end"] and name != "math":
+                    add(" ")
+                continue
             if name in INLINE:
                 if name == "a":
                     links = max(0, links + (-1 if match["end"] else 1))
@@ -118,7 +144,9 @@ class Page:
             self.parents.append(stack[-1])
             self.words.append(tuple(re.findall(r"[a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower())))
             self.marked.append("data-main" in found)
-            if name in VOID or match["rest"].endswith("/") and name in HIDDEN:
+            if name in VOID or match["rest"].endswith("/") and (name in HIDDEN or name in ("object", "noscript")):
+                continue
+            if name in ENDED and not ((ending := ENDED[name].search(source, at)) and ending[1]):
                 continue
             if name in RAW:
                 ending = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
@@ -133,6 +161,8 @@ class Page:
             stack.append(len(self.names) - 1)
             opened[name] += 1
             hidden += name in HIDDEN
+        if opened["head"] and self.names[stack[-1]] in ("head", "noscript") and source[at:].strip():
+            close_named("head")
         add(source[at:])
         flush()
 

@@ -247,6 +247,30 @@ def test_main_text(source, want):
     assert html.main_text(source) == want
 
 
+STORY = "<article><h1>Title</h1><p>One two three words of the story.</p>%s<p>Four five six words more of it.</p></article>"
+STORY_TEXT = "Title\n\nOne two three words of the story.%s\n\nFour five six words more of it."
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><meta charset=utf-8><body>" + STORY % "" + "</body></html>", STORY_TEXT % ""),
+    ("<head><title>t</title><script>x</script><noscript><link rel=x></noscript>" + STORY % "", STORY_TEXT % ""),
+    ("<head><style>p{}</style></head><body>" + STORY % "", STORY_TEXT % ""),
+    *((STORY % f"<{x}>", STORY_TEXT % "") for x in ("svg", "object", "video", "audio", "canvas", "math")),
+    (STORY % "<video src=a><div></div><video>no</video>", STORY_TEXT % ""),
+    (STORY % "<svg><text>no</text><foreignObject><div>no</div></foreignObject></svg><video><p>no</p></video>", STORY_TEXT % ""),
+    (STORY % "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>", STORY_TEXT % "\n\nLet x = 2."),
+    *((STORY % f"<{x}><p>Seven eight nine words inside of it.</p></{x}>", STORY_TEXT % "\n\nSeven eight nine words inside of it.") for x in ("noscript", "object")),
+    *((STORY % f"<{x}>Seven eight nine words inside of it.</{x}>", STORY_TEXT % "\n\nSeven eight nine words inside of it.") for x in ("noscript", "object")),
+])
+def test_main_text_of_open_heads_and_embedded_elements(source, want):
+    assert html.main_text(source) == want
+
+
+def test_bare_text_ends_a_head():
+    page = html.Page("<head><title>t</title> <link> Words of the page")
+    assert [(page.names[n], t) for n, t in page.texts] == [("#page", "Words of the page")]
+
+
 def test_marginals_equal_enumeration():
     model, page = html.trained(), html.Page("<div><p>one two three</p><ul><li>a</li><li>b</li></ul></div><footer>end</footer>")
     size = len(page.names)
