@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, jaccard, language, quality, queries
+from corpusloom.llm import decontaminate, language, quality, queries, simhash
 from corpusloom.llm.common import read, written
 
 
@@ -24,18 +24,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document with the
-    smallest id, of repeated rows one."""
-    return jaccard.representatives(docs)
+    """Keeps of each group of near-duplicates (three-word shingles, fingerprints linked at two bits or fewer) the document with
+    the smallest id, of repeated rows one."""
+    return simhash.representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window. What a document holds depends on its text alone, so texts are
-    known by their digest, and rows without id are judged like any other."""
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")
-    found = decontaminate.contamination(docs.select(digest, "text"), read(spark, sf_dir, "benchmark"), key="_digest")
-    bad = found.where("n_hit > 0").select("_digest").distinct()
-    return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").drop("_digest")
+    known by their digest, and rows without id are judged like any other. The columns go by number meanwhile, so their
+    names may hold anything; the digests to drop are written first, so that Spark measures them before it picks the join."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index('text')}")
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest")
+    found = decontaminate.contamination(plain.select(digest, text.alias("text")), read(spark, sf_dir, "benchmark"), key="digest")
+    bad = written(found.where("n_hit > 0").select("digest").distinct())
+    return plain.join(bad, digest == bad["digest"], "left_anti").toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
