@@ -36,4 +36,29 @@ ORACLES = {
       SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
         sha256(coalesce(i.listed, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
       FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)""",
+    "op11_hard_negatives": """WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      scored AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score
+        FROM e a JOIN e ON e.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+      positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+      SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+      FROM positives JOIN scored USING (anchor_id)
+      WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+      QUALIFY rank <= 10""",
+    "op12_lexical_search": f"""WITH occurrences AS (SELECT doc_id, unnest({_words('text')}) AS term FROM documents),
+      tf AS (SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY ALL),
+      lengths AS (SELECT doc_id, count(*) AS n FROM occurrences GROUP BY doc_id),
+      totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM lengths),
+      df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+      wanted AS (SELECT DISTINCT item_id, unnest({_words('text')}) AS term FROM benchmark),
+      weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, totals),
+      scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // tokens))))::BIGINT AS score
+        FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+      SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM scored WHERE score > 0 QUALIFY rank <= 50""",
 }

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from corpusloom.llm import chat, decontaminate, fingerprints, html, language, licenses, packing, quality, simhash, token_counts
+from corpusloom.llm import (
+    chat, decontaminate, fingerprints, hard_negatives, html, language, lexical, licenses, packing, quality, simhash, token_counts,
+)
 from corpusloom.llm.common import read, written
 
 
@@ -95,6 +97,17 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_chat_format": formatted_conversations,
     "op2_token_counts": document_token_counts,
@@ -106,4 +119,6 @@ QUERIES = {
     "op8_html": page_texts,
     "op9_licenses": document_licenses,
     "op10_simhash": near_duplicate_documents,
+    "op11_hard_negatives": mined_negatives,
+    "op12_lexical_search": ranked_documents,
 }

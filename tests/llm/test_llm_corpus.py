@@ -334,56 +334,6 @@ def test_stages_take_odd_rows(spark, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
 
 
-def plain_similar(rows):
-    """Smallest key of each component under 5-word Jaccard similarity of 0.8 or more, all pairs compared."""
-    sets = []
-    for _, text in rows:
-        w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    parent = list(range(len(rows)))
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    least = {}
-    for i, (key, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), key), key)
-    return set(least.values())
-
-
-@pytest.mark.parametrize("batch", [3, 10000])
-def test_near_duplicate_stage_finds_edited_copies(spark, documents, batch):
-    """Edited copies around the limit, a cloud of copies of one text, a chain, and texts in small batches."""
-    draw = random.Random(9)
-    texts = [r["text"] for r in documents.select("text").collect()]
-    for text in texts[:30]:
-        w = (text or "").split()
-        for share in (0.005, 0.015, 0.025, 0.04):
-            texts.append(" ".join("edited" if draw.random() < share else x for x in w))
-    cloud = [f"word{draw.randrange(90)}" for _ in range(120)]
-    for n in range(40):
-        texts.append(" ".join(cloud[:n] + [f"new{n}"] + cloud[n + 1 :]))
-    chain = [f"link{n}" for n in range(100)]
-    texts += [" ".join(chain[n : n + 60]) for n in range(0, 40, 4)] + ["a b c", "A b  c", "a b d", None, ""]
-    rows = list(enumerate(texts))
-    draw.shuffle(rows)
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    try:
-        kept = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, SF).collect()]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert sorted(kept) == sorted(plain_similar(rows)) and len(kept) < len(texts) - 100
-
-
 def test_pipeline_stages(spark, documents):
     """Each stage against a plain version of its decision, on its own input."""
     docs = documents
