@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from corpusloom.llm import (
-    chat, decontaminate, fingerprints, hard_negatives, html, language, lexical, licenses, packing, quality, simhash, token_counts,
+    chat, decontaminate, fingerprints, hard_negatives, html, interpolation, language, lexical, licenses, packing, quality, simhash,
+    token_counts,
 )
 from corpusloom.llm.common import read, written
 
@@ -108,6 +109,11 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def document_log_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = interpolation.score(read(spark, sf_dir, "documents"), F.coalesce(fold_of("doc_id", 7), F.lit(0)) != 2)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_chat_format": formatted_conversations,
     "op2_token_counts": document_token_counts,
@@ -121,4 +127,5 @@ QUERIES = {
     "op10_simhash": near_duplicate_documents,
     "op11_hard_negatives": mined_negatives,
     "op12_lexical_search": ranked_documents,
+    "op13_lm_scores": document_log_probabilities,
 }
