@@ -36,6 +36,8 @@ from corpusloom.llm.common import map_batches, slices, utf8, written
 
 #: Tokens of a part, and about as many n-grams of one order in a range.
 PART = RANGE = 1 << 21
+#: Tokens whose estimates are computed at once.
+STEP = 1 << 17
 #: Most rounds of expectation-maximisation; it ends earlier once a round gains less than this share of the log-likelihood.
 ROUNDS, GAIN = 20, 1e-5
 #: Weight of the pooled mixture in each bucket, in tokens.
@@ -227,7 +229,7 @@ def _singly(fn):
     return run
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, ranges: int) -> DataFrame:
     """For each question the counts over all parts, in its order; one row more for each range, with totals."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -259,7 +261,7 @@ def answers(asked: DataFrame) -> DataFrame:
         }
         return pa.Table.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return asked.groupBy("range", "order").applyInArrow(run, ANSWER)
+    return asked.repartition(2 * ranges, "range", "order").groupBy("range", "order").applyInArrow(run, ANSWER)
 
 
 class Totals:
@@ -288,6 +290,7 @@ def looked_up(part: dict, found: list[dict], totals: Totals) -> tuple[Grams, np.
         counts.append(spread("kept"))
         if order == 1:
             every = spread("every")
+    grams.orders = ()
     one, two, three = counts
     return grams, every, [one, two, grams.before(one, totals.documents), three, grams.before(two, totals.documents)]
 
@@ -377,8 +380,11 @@ class Model:
 
 def token_scores(counts: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 of each token's probability."""
-    bucket, shares = estimates(counts, model.totals)
-    return np.log10((model.weights[bucket] * shares).sum(axis=1))
+    out = np.empty(len(counts[0]))
+    for begin in range(0, len(out), STEP):  # bounds what the four estimates take
+        bucket, shares = estimates([c[begin : begin + STEP] for c in counts], model.totals)
+        out[begin : begin + STEP] = np.log10((model.weights[bucket] * shares).sum(axis=1))
+    return out
 
 
 def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str = "text", deleted: Column | None = None) -> DataFrame:
@@ -389,9 +395,10 @@ def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
     if deleted is None:
         deleted = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(16)) == 0
     table = written(parts(documents, train, deleted, key, text))
-    size = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+    size = table.agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                      F.coalesce(F.sum(F.when(~F.col("deleted"), F.size(F.filter("train", lambda t: t)))), F.lit(0)).alias("kept")).first()
-    found = written(answers(questions(table, 1 + size["n"] // RANGE)))
+    ranges = 1 + size["n"] // RANGE
+    found = written(answers(questions(table, ranges), ranges))
     sums = found.where("part < 0 AND order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_kept", "n_every", "n_distinct")]).first()
     totals = Totals(sums["n_kept"], size["kept"], sums["n_every"], sums["n_distinct"])
     found = found.where("part >= 0")
@@ -415,6 +422,7 @@ def score(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
-    narrow = table.select("part", "keys", "train", "lengths", "words", "ids")
-    replies = found.select("part", "order", "range", "kept", "every")
+    tasks = max(1, size["parts"])  # a part each, more or less, at any size of the table
+    narrow = table.select("part", "keys", "train", "lengths", "words", "ids").repartition(tasks, "part")
+    replies = found.select("part", "order", "range", "kept", "every").repartition(tasks, "part")
     return narrow.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, kind)
