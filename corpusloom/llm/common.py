@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from corpusloom.sources.shared import shared_path
+
 #: Maps A-Z to a-z and every other ASCII byte that is no digit or lower-case letter to a blank.
 #: In UTF-8 all bytes of other characters are above 0x7F, so words can be cut on bytes.
 WORD_BYTES = bytes(
@@ -31,20 +31,10 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: computed once, with its lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-llm/{uuid.uuid4().hex}"
+    path = shared_path(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

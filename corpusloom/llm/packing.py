@@ -73,7 +73,7 @@ class Encoder:
         split = {}
         for chunk in new:
             word = chunk.rstrip(self.SIGNS)
-            if word.isalpha() and "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
+            if word.isalpha() and word.lower().isalpha() and "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
                 split[chunk] = word.lower(), chunk[len(word):]
         self._learn({part for pair in split.values() for part in pair if part}.difference(self.words))
         whole = [chunk for chunk in new if chunk not in split]

@@ -143,6 +143,22 @@ def check_packing(rows, capacity):
     return len(by)
 
 
+def test_ids_of_odd_letters():
+    """Random texts over letters of all cases, combining marks and signs against the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    alphabet = list("abzAZ09 .,;:!?|*#$%&'-_\n\t") + list("\u0130\u0131\u015e\u011e\u00c7\u00dc\u00df\u1e9e\u01c5\u01f0\u0149\u03a3\u03c3\u03c2\u0391\u0390\u0301\u0307\u0327\u0308"
+        "\u00c5\u212b\ufb01\ufb03\u2167\u0587\u10a0\u13a0\uab70\u0531\u0410\u0451\u05d0\u0627\u0915\u093e\u4e00\u3042\uac00\u1100\u1161\u2126\u00aa\u00ba\u02b0\u1d2c\u24b6\U0001d400\U00010400\U0001f600\u200d\u3000\u00a0")
+    tokenizer, draw = Tokenizer.from_file(WORD), np.random.default_rng(11)
+    texts = ["".join(alphabet[i] for i in draw.integers(0, len(alphabet), int(draw.integers(1, 14)))) for _ in range(50_000)]
+    texts += ["\u015eEHR\u0130.", "K\u0130ML\u0130\u011e\u0130,", "DEN\u0130Z\u0130:", "\u0130", "\u0130\u0130!", "a\u0130? \u0130b|"]
+    for begin in range(0, len(texts), 1000):
+        some = texts[begin : begin + 1000]
+        got = packing.encoder(WORD).encode(some)
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert got == want
+
+
 def test_pieces_and_places(spark, odd):
     from tokenizers import Tokenizer
 
