@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as tx
+from .arrays import array_items
 
 EXAMPLE_FIELDS = "input_seg string, question string, output variant"
 
@@ -26,19 +27,11 @@ def dataset_name(name: Column) -> Column:
 def read_examples(spark: SparkSession, path: str, fields: str = EXAMPLE_FIELDS) -> DataFrame:
     """Examples of JSON-array files as ``source, ord, <fields>``; ``ord`` is the position in the file.
 
-    A file that is not valid JSON or not a list is skipped.  A JSON array cannot be split, so each file is
-    one row until it is unfolded: convert large corpora once with :func:`to_parquet` or deliver them as
-    JSON lines (:func:`read_example_lines`).
+    A file that is not valid JSON or not a list of objects is skipped. Files are read in parallel, large ones too, by
+    two passes over their byte ranges and one more that looks for broken files (:func:`.arrays.array_items`).
     """
-    files = (
-        spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-        .select(dataset_name(file_name()).alias("source"), "value")
-        .where(F.col("value").rlike(rf"\A\x{{feff}}?{tx.SPACE}*\["))
-    )
-    items = F.from_json("value", f"array<struct<{_as_struct(fields)}>>")
-    return files.select("source", F.posexplode(items).alias("ord", "_item")).select(
-        "source", F.col("ord").cast("bigint").alias("ord"), "_item.*"
-    )
+    items = array_items(spark, path, f"struct<{_as_struct(fields)}>")
+    return items.select(dataset_name(file_name(F.col("file"))).alias("source"), "ord", "item.*")
 
 
 def _as_struct(fields: str) -> str:
