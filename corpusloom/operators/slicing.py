@@ -2,17 +2,18 @@
 
 Greedy slicing is a left fold: a row opens a new part when the running fill would pass the limit.  The
 effect of a whole block of rows on that fold is a small step function (entry fill -> exit fill, parts
-opened), so blocks are summarised independently, the summaries are folded in order, and each block then
-places its own cuts.  Step functions compose, so the fold has two levels: the blocks of a group are composed, the groups of
-a source are folded, and each group then folds its own blocks.  Every step sees only a bounded number of pairs or summaries.
+opened), and step functions compose, so the fold is an associative scan.  Blocks are summarised
+independently; a tree of summaries is built upwards, ``group_blocks`` neighbours at a time; entry states
+then run down the tree, and each block places its own cuts.  A task handles many nodes, one after the
+other, and holds one node's children or one block at a time; no task sees a whole source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .ordering import block_of
@@ -20,6 +21,8 @@ from .ordering import block_of
 SLICE_BYTES = 20_000_000
 BLOCK_ROWS = 1_000_000
 GROUP_BLOCKS = 256
+# Rows that have been read before a task passes its results on.
+OUT_ROWS = 65_536
 
 
 def _next_cut(ends: np.ndarray, limit: int) -> np.ndarray:
@@ -75,82 +78,119 @@ def _compose(first: tuple, then: tuple, limit: int) -> tuple:
     return total + total_then, reach[run_end], fill[run_end], cuts[run_end]
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with equal keys, put together across batches."""
+    current, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for key in keys:
+            codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            change[1:] |= codes[1:] != codes[:-1]
+        begins = np.flatnonzero(change)
+        heads = zip(*(batch.column(key).take(pa.array(begins)).to_pylist() for key in keys))
+        for begin, end, key in zip(begins, [*begins[1:], batch.num_rows], heads):
+            if key != current and held:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def _map_runs(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[tuple, pa.Table], list[tuple]], schema: T.StructType) -> DataFrame:
+    """Rows that ``fn`` gives for each run of equal ``keys``, many runs to an Arrow batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, weight = [], 0
+        for key, table in _runs(batches, keys):
+            rows += fn(key, table)
+            weight += table.num_rows
+            if rows and weight > OUT_ROWS:
+                yield batch_of(rows)
+                rows, weight = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def _functions(table: pa.Table) -> list[tuple]:
+    """The step functions in a run of summaries."""
+    lists = [[np.array(x, np.int64) for x in table.column(c).to_pylist()] for c in ("reach", "fill", "cuts")]
+    return list(zip(table.column("total").to_pylist(), *lists))
+
+
 def slice_starts(df: DataFrame, size: Column, limit: int, by: str, order: str, block_rows: int, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
-    """Per block: the part that is open on entry and the order values that open further parts."""
-    key_type = df.schema[by].dataType
+    """Per block: the part that is open on entry and the order values that open further parts.
+
+    The height of the tree comes from the largest order value, one aggregate that runs when the frame is built.
+    """
     rows = df.select(
         by, F.col(order).cast("bigint").alias("_ord"), size.cast("bigint").alias("_size")
     ).withColumn("_block", block_of(F.col("_ord"), block_rows))
+    one, longs = T.LongType(), T.ArrayType(T.LongType())
+
+    def schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+        return T.StructType([T.StructField(by, df.schema[by].dataType), *[T.StructField(n, t) for n, t in fields]])
+
+    summary = schema(("_node", one), ("total", one), ("reach", longs), ("fill", longs), ("cuts", longs))
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord")
-        summary = _block_summary(pdf["_size"].to_numpy(), limit)
-        return pd.DataFrame([{by: pdf[by].iloc[0], "_block": pdf["_block"].iloc[0], **summary}])
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        whole = None
-        for one in pdf[["total", "reach", "fill", "cuts"]].itertuples(index=False, name=None):
-            whole = one if whole is None else _compose(whole, one, limit)
-        total, reach, fill, cuts = whole
-        head = {by: pdf[by].iloc[0], "_group": pdf["_group"].iloc[0]}
-        return pd.DataFrame([{**head, "total": total, "reach": reach, "fill": fill, "cuts": cuts}])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, fill, part = None, 0, 0
-        for pdf in batches:
-            out = []
-            for key, group, *summary in pdf.itertuples(index=False, name=None):
-                if key != source:
-                    source, fill, part = key, limit + 1, 0  # the first row always opens part 1
-                out.append((key, group, fill, part))
-                fill, opened = _enter(tuple(summary), fill, limit)
-                part += opened
-            yield pd.DataFrame(out, columns=[by, "_group", "_fill", "_part"])
-
-    def unfold(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        fill, part = int(entry["_fill"].iloc[0]), int(entry["_part"].iloc[0])
-        out = []
-        for row in pdf.sort_values("_block")[[by, "_block", "total", "reach", "fill", "cuts"]].itertuples(index=False, name=None):
-            out.append((row[0], row[1], fill, part))
-            fill, opened = _enter(row[2:], fill, limit)
+    def summarise(key: tuple, table: pa.Table) -> list[tuple]:
+        s = _block_summary(table.column("_size").to_numpy(), limit)
+        return [(*key, s["total"], s["reach"], s["fill"], s["cuts"])]
+
+    def compose(key: tuple, table: pa.Table) -> list[tuple]:
+        first, *others = _functions(table)
+        for then in others:
+            first = _compose(first, then, limit)
+        return [(*key, *first)]
+
+    def descend(key: tuple, table: pa.Table) -> list[tuple]:
+        fill, part, out = table.column("_fill")[0].as_py(), table.column("_part")[0].as_py(), []
+        for node, step in zip(table.column("_node").to_pylist(), _functions(table)):
+            out.append((key[0], node, fill, part))
+            fill, opened = _enter(step, fill, limit)
             part += opened
-        return pd.DataFrame(out, columns=[by, "_block", "_fill", "_part"])
+        return out
 
-    def place(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord")
-        ends = np.cumsum(pdf["_size"].to_numpy())
-        fill, part = int(entry["_fill"].iloc[0]), int(entry["_part"].iloc[0])
+    def place(key: tuple, table: pa.Table) -> list[tuple]:
+        ends, at_ord = np.cumsum(table.column("_size").to_numpy()), table.column("_ord").to_numpy()
+        fill, part = table.column("_fill")[0].as_py(), table.column("_part")[0].as_py()
         follow = _next_cut(ends, limit)
         at, starts = int(np.searchsorted(ends, limit - fill, side="right")), []
         while at < len(ends):
-            starts.append(int(pdf["_ord"].iloc[at]))
+            starts.append(at_ord[at])
             at = int(follow[at])
-        return pd.DataFrame(
-            [{by: pdf[by].iloc[0], "_block": pdf["_block"].iloc[0], "_part": part, "_starts": starts}]
-        )
-
-    def schema(*fields: tuple[str, T.DataType], at: str = "_block") -> T.StructType:
-        return T.StructType([T.StructField(by, key_type), T.StructField(at, T.LongType())]
-                            + [T.StructField(n, t) for n, t in fields])
-
-    longs, one = T.ArrayType(T.LongType()), T.LongType()
-    keys = [by, "_block"]
-    summaries = rows.groupBy(*keys).applyInPandas(
-        summarise, schema(("total", one), ("reach", longs), ("fill", longs), ("cuts", longs))
-    )
-    grouped = summaries.withColumn("_group", block_of(F.col("_block"), group_blocks))
-    groups = [by, "_group"]
-    steps = (("total", one), ("reach", longs), ("fill", longs), ("cuts", longs))
-    openings = (
-        grouped.groupBy(*groups).applyInPandas(compose, schema(*steps, at="_group"))
-        .repartition(by).sortWithinPartitions(*groups)
-        .mapInPandas(fold, schema(("_fill", one), ("_part", one), at="_group"))
-    )
-    entries = grouped.groupBy(*groups).cogroup(openings.groupBy(*groups)).applyInPandas(unfold, schema(("_fill", one), ("_part", one)))
-    return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
-        place, schema(("_part", one), ("_starts", longs))
-    )
+        return [(*key, part, starts)]
+
+    def parent(level: DataFrame) -> DataFrame:
+        return level.withColumn("_parent", block_of(F.col("_node"), group_blocks))
+
+    group_blocks = max(2, group_blocks)
+    top = rows.agg(F.max(F.abs(F.col("_block")))).first()[0] or 0
+    levels = [_map_runs(rows.withColumnRenamed("_block", "_node"), (by, "_node"), "_ord", summarise, summary)]
+    while top or len(levels) == 1:
+        above = _map_runs(parent(levels[-1]), (by, "_parent"), "_node", compose, T.StructType(
+            [T.StructField("_parent", one) if f.name == "_node" else f for f in summary]))
+        levels.append(above.withColumnRenamed("_parent", "_node"))
+        top //= group_blocks
+    # the first row of a source always opens part 1
+    entries = levels[-1].select(by, "_node", F.lit(limit + 1).cast("bigint").alias("_fill"), F.lit(0).cast("bigint").alias("_part"))
+    for level in levels[-2::-1]:
+        known = parent(level).join(entries.withColumnRenamed("_node", "_parent"), [by, "_parent"])
+        entries = _map_runs(known, (by, "_parent"), "_node", descend, schema(("_node", one), ("_fill", one), ("_part", one)))
+    opened = rows.join(entries.withColumnRenamed("_node", "_block"), [by, "_block"])
+    return _map_runs(opened, (by, "_block"), "_ord", place, schema(("_block", one), ("_part", one), ("_starts", longs)))
 
 
 def slice_by_size(
@@ -165,7 +205,7 @@ def slice_by_size(
     """Add the 1-based ``part`` of each row: greedy slices of at most ``limit`` bytes per source.
 
     A part is closed when the next row would pass the limit; a row larger than the limit is a part of its
-    own.  A row finds its part among the cuts of its block by binary search, one projection per step.
+    own.  Rows without a source are left out.  A row finds its part among the cuts of its block by binary search, one projection per step.
     """
     starts = slice_starts(df, size, limit, by, order, block_rows, group_blocks)
     at = F.col(order).cast("bigint")
