@@ -10,11 +10,43 @@ TOP = 3
 _NULL_TOPIC = "\x00"
 
 
-def align_predictions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pair two prediction frames ``(key, topics)`` row by row as ``topics_a, topics_b``."""
-    left = a.select(key, F.col("topics").alias("topics_a"))
-    right = b.select(key, F.col("topics").alias("topics_b"))
-    return left.join(right, key)
+def align_predictions(a: DataFrame, b: DataFrame, key: str, on_duplicate: str = "raise") -> DataFrame:
+    """Pair two prediction frames ``(key, topics)`` one to one as ``key, topics_a, topics_b``; keys of one side only are left out.
+
+    The rows of both sides meet in one shuffle, which gives the pairs and how often each side holds a key, so a key that holds
+    most rows is merged before it is sent.  ``on_duplicate``: ``raise`` stops the job and names the key, ``skip`` leaves out
+    the keys that :func:`alignment_audit` reports.  Null keys pair with nothing.
+    """
+    counted = _both_sides(a, b, key)
+    told = F.concat(F.lit(f"{key} is not unique: "), F.col(f"`{key}`").cast("string"))
+    repeated = F.raise_error(told).cast("boolean") if on_duplicate == "raise" else F.lit(False)
+    # one expression, so that no part of it is tested before the others
+    paired = F.when((F.col("n_a") > 1) | (F.col("n_b") > 1), repeated).otherwise((F.col("n_a") == 1) & (F.col("n_b") == 1))
+    return counted.where(paired).select(
+        key, F.col("first_a.topics").alias("topics_a"), F.col("first_b.topics").alias("topics_b")
+    )
+
+
+def alignment_audit(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that :func:`align_predictions` can't pair one to one: ``key, n_a, n_b, problem``, nulls included."""
+    problem = (
+        F.when(F.col(f"`{key}`").isNull(), "null").when((F.col("n_a") > 1) | (F.col("n_b") > 1), "repeated")
+        .when(F.col("n_b") == 0, "only in a").when(F.col("n_a") == 0, "only in b")
+    )
+    return _both_sides(a, b, key, nulls=True).select(key, "n_a", "n_b", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def _both_sides(a: DataFrame, b: DataFrame, key: str, nulls: bool = False) -> DataFrame:
+    """Per key, how many rows each side has and one of them."""
+    sides = a.select(key, F.col("topics"), F.lit(0).alias("_side")).unionByName(b.select(key, F.col("topics"), F.lit(1).alias("_side")))
+    rows = sides if nulls else sides.where(F.col(f"`{key}`").isNotNull())
+
+    def of(side: int, name: str) -> list[Column]:
+        mine = F.col("_side") == side
+        one = F.first(F.when(mine, F.struct("topics")), ignorenulls=True)  # a struct, as the topics may be null themselves
+        return [F.count_if(mine).alias(f"n_{name}"), one.alias(f"first_{name}")]
+
+    return rows.groupBy(key).agg(*of(0, "a"), *of(1, "b"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

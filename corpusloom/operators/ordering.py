@@ -45,6 +45,40 @@ def running_index(
     )
 
 
+def next_value(df: DataFrame, order: str, name: str = "next", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the next larger value of ``order`` that exists, to the largest the smallest; pass narrow rows.
+
+    ``order`` is an integral column of unique values; they may have gaps of any size. Values are ordered inside blocks of
+    ``block_rows`` of them, and only the first value of each block is ordered over all blocks.
+    """
+    blocked = df.withColumn("_block", block_of(F.col(order), block_rows))
+    across = Window.partitionBy(F.lit(0)).orderBy("_first")
+    firsts = blocked.groupBy("_block").agg(F.min(order).alias("_first"))
+    begins = firsts.select("_block", F.coalesce(F.lead("_first").over(across), F.min("_first").over(Window.partitionBy(F.lit(0)))).alias("_after"))
+    inside = F.lead(order).over(Window.partitionBy("_block").orderBy(order))
+    return (
+        blocked.withColumn(name, inside).join(begins, "_block")
+        .withColumn(name, F.coalesce(name, "_after")).drop("_block", "_after")
+    )
+
+
+def numbered(df: DataFrame, x: str, name: str = "number", blocks: int = VALUE_BLOCKS) -> DataFrame:
+    """Add the 1-based position of each row in the order of ``x``, whose values are unique and may be texts.
+
+    Cut points are the values of smallest hash, so about as many values lie between any two of them, whatever the texts begin
+    with. Positions are counted inside blocks; the rows of the blocks before come from an array of their sizes.
+    """
+    chosen = df.select(F.xxhash64(x).alias("_hash"), x).orderBy("_hash", x).limit(blocks - 1)
+    cuts = chosen.agg(F.array_sort(F.collect_list(x)).alias("cuts")).scalar()
+    placed = _add_value_blocks(df, x, cuts, blocks - 1)
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("block", "n")).alias("sizes")).scalar()
+    before = F.aggregate(
+        F.filter("_sizes", lambda s: s["block"] < F.col("block")), F.lit(0).cast("bigint"), lambda total, s: total + s["n"]
+    )
+    inside = F.row_number().over(Window.partitionBy("block").orderBy(x))
+    return placed.withColumns({name: inside, "_sizes": sizes}).withColumn(name, F.col(name) + before).drop("block", "_sizes")
+
+
 def _add_value_blocks(rows: DataFrame, x: str, cuts: Column, n_cuts: int) -> DataFrame:
     """Add ``block``, the number of cut points below ``x``, by binary search over a sorted array.
 

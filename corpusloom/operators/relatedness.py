@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
@@ -14,6 +14,8 @@ from .ordering import exact_quantiles, running_index
 ALL_FILES = "ALL_FILES"
 LOWEST = 100
 WHISKER = 1.5
+# Texts of a mini-batch, and their characters once all are as long as the longest.
+BATCH_TEXTS, BATCH_CHARS = 64, 65_536
 
 
 def token_relatedness(df: DataFrame, key: Sequence[str], left: Column, right: Column, name: str = "similarity_score") -> DataFrame:
@@ -48,26 +50,74 @@ def group_relatedness(groups: DataFrame, name: str = "similarity_score") -> Data
     return keyed.join(scores, ["source", "_key"]).drop("_key")
 
 
+def embed_texts(
+    texts: DataFrame,
+    text: str,
+    embedder: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]],
+    batch_texts: int = BATCH_TEXTS,
+    batch_chars: int = BATCH_CHARS,
+) -> DataFrame:
+    """The columns of ``texts`` and ``vector``; ``embedder`` is a factory called once per task.
+
+    A task orders its texts by length and hands them on in mini-batches: at most ``batch_texts`` texts, and as many as stay
+    within ``batch_chars`` once all are filled up to the longest of them (one text at least).  Their size does not depend on
+    the Arrow batches, which only carry the texts.
+    """
+    kind = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = embedder()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            for begin, end in mini_batches([len(x or "") for x in column.to_pylist()], batch_texts, batch_chars):
+                part = batch.slice(begin, end - begin)
+                vectors = encode([x or "" for x in column.slice(begin, end - begin).to_pylist()])
+                flat = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], [*part.schema.names, "vector"])
+
+    return texts.sortWithinPartitions(F.length(text)).mapInArrow(run, kind)
+
+
+def mini_batches(lengths: Sequence[int], batch_texts: int, batch_chars: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``batch_texts`` texts whose longest, times their number, is within ``batch_chars``."""
+    begin, longest = 0, 0
+    for i, length in enumerate(lengths):
+        if i > begin and (i - begin >= batch_texts or max(longest, length) * (i - begin + 1) > batch_chars):
+            yield begin, i
+            begin, longest = i, 0
+        longest = max(longest, length)
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
 def embedding_relatedness(
     df: DataFrame,
     left: Column,
     right: Column,
     embedder: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]],
     name: str = "similarity_score",
+    batch_texts: int = BATCH_TEXTS,
+    batch_chars: int = BATCH_CHARS,
 ) -> DataFrame:
-    """Cosine similarity of dense embeddings of two texts per row.
+    """Cosine similarity of dense embeddings of two texts per row; null texts count as empty.
 
-    ``embedder`` is a factory called once per task; the function it returns maps a batch of texts to
-    vectors.  The similarity itself stays native.
+    Each distinct text is embedded once, however many rows and sides hold it: texts are known by their digest, distinct
+    pairs of digests take their vectors from one join, and rows take the score of their pair.  The similarity is native.
     """
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = embedder()
-        for batch in batches:
-            yield pd.Series([[float(x) for x in v] for v in encode(batch.fillna("").tolist())])
-
-    vectors = df.withColumns({"_left": embed(left), "_right": embed(right)})
-    return vectors.withColumn(name, cosine(F.col("_left"), F.col("_right"))).drop("_left", "_right")
+    def digest(c: Column) -> Column:
+        return F.sha2(F.coalesce(c, F.lit("")), 256)
+
+    keyed = df.withColumns({"_left": digest(left), "_right": digest(right)})
+    sides = df.select(F.inline(F.array(*[F.struct(digest(c).alias("_digest"), F.coalesce(c, F.lit("")).alias("_text")) for c in (left, right)])))
+    once = sides.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    vectors = embed_texts(once, "_text", embedder, batch_texts, batch_chars).select("_digest", "vector")
+    pairs = keyed.select("_left", "_right").distinct()
+    wanted = pairs.select("_left", "_right", F.inline(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_left").alias("_digest")), F.struct(F.lit(1).alias("_side"), F.col("_right").alias("_digest")))))
+    found = wanted.join(vectors, "_digest").groupBy("_left", "_right").agg(
+        *[F.first(F.when(F.col("_side") == i, F.col("vector")), ignorenulls=True).alias(f"_{i}") for i in (0, 1)])
+    scores = found.select("_left", "_right", cosine(F.col("_0"), F.col("_1")).alias(name))
+    return keyed.join(scores, ["_left", "_right"]).select(*[f"`{c}`" for c in df.columns], name)
 
 
 def question_table_texts(df: DataFrame, compat: bool = False) -> DataFrame:

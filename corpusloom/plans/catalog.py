@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import classify as cl
 from ..functions import text as tx
-from ..operators import compare, crosstab, extract, grouping, outcomes, relatedness, repair, sampling, slicing, topics
-from ..sources import readers, reports, writers
+from ..operators import compare, crosstab, extract, grouping, ordering, outcomes, relatedness, repair, sampling, slicing, topics
+from ..sources import arrays, readers, reports, writers
+from ..sources.shared import shared_path
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +365,14 @@ def top3_labels(spark, sf):
     return topics.flatten_top(ranked).drop("scores_a", "scores_b", "topics")
 
 
+@query
+def alignment_audit(spark, sf):
+    """Keys of two predictors that don't pair one to one: the second lacks one label and repeats another."""
+    rows = v.table(spark, sf, "embeddings").select("vec_id", "label", F.array(F.struct("label")).alias("topics"))
+    second = rows.where("label <> 3").unionByName(rows.where("label = 5"))
+    return compare.alignment_audit(rows, second, "vec_id")
+
+
 @query
 def topic_agreement(spark, sf):
     return _predictions(spark, sf).agg(_six(compare.agreement()).alias("agreement"))
@@ -430,18 +439,32 @@ def relatedness_vectors(spark, sf):
     return v.similarities(spark, sf)
 
 
-@query
-def relatedness_text(spark, sf):
-    """Term cosine of each document and the next one (of the last and the first), over the whole texts."""
-    docs = v.table(spark, sf, "documents").select("doc_id", "text")
-    first, last = (docs.agg(f("doc_id").alias("at")).scalar() for f in (F.min, F.max))
-    before = F.when(F.col("doc_id") == first, last).otherwise(F.col("doc_id") - 1)
-    following = docs.select(before.alias("doc_id"), F.col("text").alias("next_text"))
-    pairs = docs.join(following, "doc_id")
+def _next_relatedness(docs: DataFrame) -> DataFrame:
+    """Term cosine of each document and the next one that exists (of the last and the first), over the whole texts."""
+    following = ordering.next_value(docs.select("doc_id"), "doc_id", "next_id")
+    others = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    pairs = docs.join(following, "doc_id").join(others, "next_id")
     scored = relatedness.token_relatedness(pairs, ["doc_id"], F.col("text"), F.col("next_text"))
     return scored.withColumn("similarity_score", _six("similarity_score"))
 
 
+@query
+def relatedness_text(spark, sf):
+    return _next_relatedness(v.table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def relatedness_text_english(spark, sf):
+    """Over the documents of one language, whose ids have gaps."""
+    return _next_relatedness(v.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"))
+
+
+@query
+def relatedness_vectors_labels(spark, sf):
+    """Over the vectors of some labels, whose ids have gaps."""
+    return v.similarities(spark, sf, v.table(spark, sf, "embeddings").where("label IN (1, 4, 6)"))
+
+
 @query
 def relatedness_questions(spark, sf):
     texts = relatedness.question_table_texts(v.examples(spark, sf))
@@ -662,3 +685,40 @@ def relatedness_group_lowest(spark, sf):
 def _group_scores(spark: SparkSession, sf: str) -> DataFrame:
     scored = relatedness.group_relatedness(_clean_groups(spark, sf))
     return scored.withColumn("similarity_score", _six("similarity_score"))
+
+
+# --- files written and read back ----------------------------------------------------------------------
+
+
+@query
+def array_examples(spark, sf):
+    """Examples as JSON arrays, one file a source, read back in parallel."""
+    path = shared_path(spark, "arrays")
+    arrays.write_arrays(v.examples(spark, sf), path)
+    items = arrays.array_items(spark, path, "struct<input_seg: string, question: string, output: string>", "*.txt")
+    return items.select(F.regexp_extract("file", "/source=([^/]*)/", 1).alias("source"), "ord", "item.*")
+
+
+@query
+def slice_files(spark, sf):
+    """Slices of documents as files, with the sizes that the files have."""
+    path = shared_path(spark, "slices")
+    docs = v.table(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"), "text")
+    writers.write_slices(docs, path, limit=SLICE_LIMIT)
+    return writers.slice_files(spark, path)
+
+
+@query
+def text_lines(spark, sf):
+    """Questions as text lines, read back trimmed and counted."""
+    path = shared_path(spark, "lines")
+    writers.write_lines(v.examples(spark, sf).select("source", "ord", "question"), path, "question", order=("ord",))
+    return readers.read_lines(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def table_rows(spark, sf):
+    """Questions and answers as quoted CSV with line breaks inside fields, read back with the header checked."""
+    path = shared_path(spark, "tables")
+    writers.write_by_source(v.qa(spark, sf).select("source", "ord", "question", "answer"), path, "csv")
+    return readers.read_table(spark, path, "ord bigint, question string, answer string", multi_line=True).drop("source")

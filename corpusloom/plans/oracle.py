@@ -260,12 +260,17 @@ SPEARMAN = """(SELECT corr(x, y) FROM (SELECT
     rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2.0 AS x,
     rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2.0 AS y FROM tops))"""
 
-SIM = """sim AS (SELECT 'label' || a.label AS source, a.vec_id AS ord,
+def similar(rows: str) -> str:
+    """Similarity of each vector of ``rows`` and the next one that exists."""
+    return f"""sim AS (SELECT 'label' || a.label AS source, a.vec_id AS ord,
   round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
     / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
      * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity_score
-  FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN a.vec_id = (SELECT max(vec_id) FROM embeddings)
-    THEN (SELECT min(vec_id) FROM embeddings) ELSE a.vec_id + 1 END)"""
+  FROM (SELECT *, coalesce(lead(vec_id) OVER (ORDER BY vec_id), min(vec_id) OVER ()) AS following FROM {rows}) a
+  JOIN embeddings b ON b.vec_id = a.following)"""
+
+
+SIM = similar("embeddings")
 LOWEST = SIM + ", lowest AS (SELECT * FROM sim ORDER BY similarity_score, source, ord LIMIT 100)"
 
 
@@ -382,16 +387,27 @@ REPAIRED = f"""repaired AS (SELECT p_brand AS source, p_partkey AS ord,
   FROM part)"""
 
 
-def sliced(limit: int) -> str:
+def one_line(text: str) -> str:
+    return rf"regexp_replace({text}, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]', ' ', 'g')"
+
+
+def next_cosine(rows: str) -> str:
+    """Term cosine of each document of ``rows`` and the next one that exists."""
+    return f"""WITH texts AS (SELECT a.doc_id, a.text AS l, b.text AS r
+      FROM (SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS following FROM {rows}) a
+      JOIN documents b ON b.doc_id = a.following), {term_cosine('texts', 'doc_id')}"""
+
+
+def sliced(limit: int, size: str = "strlen(text)", result: str = "SELECT source, ord, part FROM r") -> str:
     """Greedy parts of at most ``limit`` bytes, row by row."""
-    return f"""WITH RECURSIVE d AS (SELECT source, doc_id AS ord, strlen(text) AS sz,
+    return f"""WITH RECURSIVE d AS (SELECT source, doc_id AS ord, {size} AS sz,
         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-      r AS (SELECT source, ord, rn, sz AS fill, 1::BIGINT AS part FROM d WHERE rn = 1
-        UNION ALL SELECT d.source, d.ord, d.rn,
+      r AS (SELECT source, ord, rn, sz, sz AS fill, 1::BIGINT AS part FROM d WHERE rn = 1
+        UNION ALL SELECT d.source, d.ord, d.rn, d.sz,
           CASE WHEN r.fill + d.sz > {limit} THEN d.sz ELSE r.fill + d.sz END,
           CASE WHEN r.fill + d.sz > {limit} THEN r.part + 1 ELSE r.part END
         FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1)
-      SELECT source, ord, part FROM r"""
+      {result}"""
 
 
 ORACLES: dict[str, str] = {
@@ -502,9 +518,9 @@ ORACLES: dict[str, str] = {
     "topic_counts": f"""WITH {RANKED} SELECT 'a' AS predictor, rk::INT AS rank, label AS topic, count(*) AS n FROM ra GROUP BY ALL
       UNION ALL SELECT 'b', rk::INT, label, count(*) FROM rb GROUP BY ALL""",
     "relatedness_vectors": f"WITH {SIM} SELECT * FROM sim",
-    "relatedness_text": f"""WITH texts AS (SELECT a.doc_id, a.text AS l, b.text AS r FROM documents a
-      JOIN documents b ON b.doc_id = CASE WHEN a.doc_id = (SELECT max(doc_id) FROM documents)
-        THEN (SELECT min(doc_id) FROM documents) ELSE a.doc_id + 1 END), {term_cosine('texts', 'doc_id')}""",
+    "relatedness_text": next_cosine("documents"),
+    "relatedness_text_english": next_cosine("(SELECT * FROM documents WHERE lang = 'en')"),
+    "relatedness_vectors_labels": f"WITH {similar('(SELECT * FROM embeddings WHERE label IN (1, 4, 6))')} SELECT * FROM sim",
     "relatedness_questions": f"""WITH {EXAMPLES}, texts AS (SELECT * FROM (SELECT source, ord,
         {no_punct(segment('input_seg', 1, False))} AS l, {no_punct(_V1_QUESTION)} AS r, {_V1_QUESTION} AS question
       FROM examples) WHERE question <> ''), {term_cosine('texts', 'source, ord')}""",
@@ -615,4 +631,14 @@ ORACLES: dict[str, str] = {
     "relatedness_group_lowest": f"""WITH {CLEAN_GROUPS}, texts AS (SELECT source, "table", {no_punct('"table"')} AS l, qas AS r
       FROM grouped), sim AS (WITH {term_cosine('texts', 'source, "table"')}) SELECT source, "table", num_pairs, similarity_score
       FROM grouped JOIN sim USING (source, "table") ORDER BY similarity_score, source, "table" LIMIT 100""",
+    "alignment_audit": """SELECT vec_id, 1::BIGINT AS n_a, CASE label WHEN 3 THEN 0 WHEN 5 THEN 2 END::BIGINT AS n_b,
+        CASE label WHEN 3 THEN 'only in a' WHEN 5 THEN 'repeated' END AS problem FROM embeddings WHERE label IN (3, 5)""",
+    "array_examples": f"""WITH {EXAMPLES} SELECT source, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS ord,
+        input_seg, question, output FROM examples""",
+    "slice_files": sliced(
+        cat.SLICE_LIMIT, """(1 + strlen(CASE WHEN text IS NULL THEN to_json({'ord': doc_id}) ELSE to_json({'ord': doc_id, 'text': text}) END))::BIGINT""",
+        "SELECT source, part, 1::BIGINT AS files, sum(sz)::BIGINT AS bytes FROM r GROUP BY source, part"),
+    "text_lines": f"""WITH {EXAMPLES}, flat AS (SELECT {strip(one_line('question'))} AS value FROM examples)
+      SELECT value, count(*) AS n FROM flat WHERE value <> '' GROUP BY value""",
+    "table_rows": f"WITH {QA} SELECT ord, question, answer FROM qa",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vectors import cosine
+from ..operators.ordering import next_value
 from ..operators.topics import LABELS, label_scores
 
 SOURCES = ("fetaqa_train", "fetaqa_test", "hitab_test", "hitab_train", "wikisql_test", "wikitq_test", "hybridqa_eval")
@@ -117,13 +118,12 @@ def score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine similarity of each vector and the next one (of the last and the first), rounded to six digits."""
-    vectors = table(spark, sf_dir, "embeddings")
-    first, last = (vectors.agg(f("vec_id").alias("at")).scalar() for f in (F.min, F.max))
-    before = F.when(F.col("vec_id") == first, last).otherwise(F.col("vec_id") - 1)
-    following = vectors.select(before.alias("vec_id"), F.col("embedding").alias("_next"))
-    return vectors.join(following, "vec_id").select(
+def similarities(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None) -> DataFrame:
+    """Cosine similarity of each vector and the next one that exists (of the last and the first), rounded to six digits."""
+    vectors = table(spark, sf_dir, "embeddings") if vectors is None else vectors
+    following = next_value(vectors.select("vec_id"), "vec_id", "_at")
+    others = vectors.select(F.col("vec_id").alias("_at"), F.col("embedding").alias("_next"))
+    return vectors.join(following, "vec_id").join(others, "_at").select(
         F.concat(F.lit("label"), F.col("label").cast("string")).alias("source"),
         F.col("vec_id").alias("ord"),
         F.round(cosine(F.col("embedding"), F.col("_next")), 6).alias("similarity_score"),

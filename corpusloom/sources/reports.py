@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..operators.ordering import numbered
 from ..operators.outcomes import STATUSES
 
-# Characters of an error message that form a block of the numbering.
-BLOCK_CHARS = 24
-
 
 def fixed(value: Column, digits: int = 4) -> Column:
     """Number with a fixed count of decimals; a missing value reads ``nan``."""
@@ -32,8 +30,8 @@ def share_report(shares: DataFrame, label: str, n: str, percent: str) -> DataFra
 def outcome_report(summary: DataFrame, errors: DataFrame, title: str = "Query Summary") -> DataFrame:
     """Markdown lines ``section, number, line`` of an outcome summary and its distinct error messages.
 
-    Messages are cut for display, but two that differ are two rows.  They are numbered in order: within blocks of one
-    beginning, after the messages of all blocks before, so no task sorts all of them.
+    Messages are cut for display, but two that differ are two rows.  They are numbered in order, block by block
+    (:func:`.ordering.numbered`), so no task sorts all of them.
     """
     # Report wording.
     titles = dict(zip(STATUSES, ("Non-empty results", "Empty results", "Errors (NaN)")))
@@ -51,13 +49,10 @@ def outcome_report(summary: DataFrame, errors: DataFrame, title: str = "Query Su
           for i, (status, name) in enumerate(titles.items())],
     ]
     head = summary.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
-    found = errors.select("error").where(F.col("error") != "").distinct().withColumn("_block", F.substring("error", 1, BLOCK_CHARS))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = found.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy("error"))
-    numbered = found.withColumn("_inside", inside).join(blocks, "_block").select(F.col("_before") + F.col("_inside"), "error").toDF("number", "error")
+    found = errors.select("error").where(F.col("error") != "").distinct()
+    listed = numbered(found, "error")
     safe = F.replace(tx.truncate(F.col("error")), F.lit("|"), F.lit("\\|"))
-    tail = numbered.select(
+    tail = listed.select(
         F.lit(4).alias("section"), "number", F.concat(F.lit("| "), F.col("number").cast("string"), F.lit(" | "), safe, F.lit(" |")).alias("line")
     )
     table = F.array(*[row(3, i, F.lit(t)) for i, t in enumerate(("## Distinct Error Types", "| # | Error Message |", "|---|---------------|"))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.slicing import SLICE_BYTES, slice_by_size
 
@@ -46,10 +46,28 @@ def write_lines(df: DataFrame, path: str, line: str = "line", by: str = "source"
     flat.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 
 
+def record_bytes(df: DataFrame, by: str = "source") -> Column:
+    """Bytes of a row as a line of a JSON-lines file that is laid out by ``by``, line break included."""
+    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != by]))) + 1
+
+
 def write_slices(
-    df: DataFrame, path: str, size: Column, limit: int = SLICE_BYTES, by: str = "source", **slicing: int
+    df: DataFrame, path: str, size: Column | None = None, limit: int = SLICE_BYTES, by: str = "source", order: str = "ord", **slicing: int
 ) -> DataFrame:
-    """JSON lines in folders ``source=/part=`` of at most ``limit`` bytes each; returns the sliced frame."""
-    sliced = slice_by_size(df, size, limit, by, **slicing)
-    sliced.write.mode("overwrite").partitionBy(by, "part").json(path)
+    """JSON lines in folders ``by=/part=``, one file for each part, rows in ``order``; returns the sliced frame.
+
+    By default a row counts with the bytes that it takes in the file, so a file has at most ``limit`` bytes, or one row;
+    :func:`slice_files` reads the sizes back.  A task writes whole parts, one after the other.
+    """
+    sliced = slice_by_size(df, record_bytes(df, by) if size is None else size, limit, by, order, **slicing)
+    laid = sliced.repartition(by, "part").sortWithinPartitions(by, "part", order)
+    laid.write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", 0).partitionBy(by, "part").json(path)
     return sliced
+
+
+def slice_files(spark: SparkSession, path: str, by: str = "source") -> DataFrame:
+    """``by, part, files, bytes`` of written slices, from the file sizes alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
+    place = F.regexp_extract("path", rf"/{by}=([^/]*)/part=(\d+)/[^/]*\z", 1), F.regexp_extract("path", r"/part=(\d+)/[^/]*\z", 1)
+    return files.select(F.url_decode(place[0]).alias(by), place[1].cast("bigint").alias("part"), "length").groupBy(by, "part").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -75,6 +75,31 @@ def test_duplicate_keys_and_row_selection(spark):
     assert compare.select_rows(df, df.where("k = 2"), "k").count() == 1
 
 
+def predictions(spark, keys):
+    return spark.createDataFrame([(k, None if k == 9 else [(f"t{i}",)]) for i, k in enumerate(keys)], "k int, topics array<struct<label: string>>")
+
+
+def test_alignment_is_one_to_one(spark):
+    a, b = predictions(spark, [1, 2, 9, None]), predictions(spark, [9, 2, 3, None, None])
+    got = {r["k"]: (r["topics_a"], r["topics_b"]) for r in compare.align_predictions(a, b, "k").collect()}
+    assert set(got) == {2, 9} and got[9] == (None, None) and got[2][0][0].label == "t1" and got[2][1][0].label == "t1"
+    again = b.unionByName(predictions(spark, [2] * 500 + [7, 7]))
+    with pytest.raises(Exception, match="k is not unique: "):
+        compare.align_predictions(a, again, "k").collect()
+    with pytest.raises(Exception, match="k is not unique: 7"):  # a repeated key counts, though it has no partner
+        compare.align_predictions(a, b.unionByName(predictions(spark, [7, 7])), "k").collect()
+    assert [r["k"] for r in compare.align_predictions(a, again, "k", "skip").collect()] == [9]
+    audit = sorted(map(tuple, compare.alignment_audit(a, again, "k").collect()), key=repr)
+    assert audit == sorted([(1, 1, 0, "only in a"), (2, 1, 501, "repeated"), (3, 0, 1, "only in b"), (7, 0, 2, "repeated"), (None, 1, 2, "null")], key=repr)
+    assert compare.align_predictions(a.limit(0), b.limit(0), "k").count() == 0
+
+
+def test_alignment_takes_one_shuffle(spark):
+    a, b = predictions(spark, [1, 2]), predictions(spark, [2, 3])
+    plan = compare.align_predictions(a, b, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_comparison_lines(spark):
     lines = compare.comparison(frame(spark, ("abc", "abd"), ("abc", "bca"))).orderBy("line_no").collect()
     assert [r.line_no for r in lines] == [1, 2, 3, 4, 5]

@@ -131,4 +131,38 @@ def letter_embedder():
 def test_embedding_relatedness_takes_a_plugged_model(spark):
     df = spark.createDataFrame([("a", "a"), ("aa", "bb")], "l string, r string")
     got = relatedness.embedding_relatedness(df, F.col("l"), F.col("r"), letter_embedder).collect()
-    assert [round(r["similarity_score"], 6) for r in got] == [1.0, 0.2]
+    assert sorted(round(r["similarity_score"], 6) for r in got) == [0.2, 1.0]
+
+
+def test_each_distinct_text_is_embedded_once(spark):
+    """Copies of a text for a third of the rows, on either side; mini-batches by number and by length."""
+    texts = [f"text {i} " + "a" * (i % 50) for i in range(40)]
+    rows = [(i, texts[0] if i % 3 == 0 else texts[i % 40], texts[(i * 7) % 40] if i % 5 else None, "x") for i in range(600)]
+    calls, sizes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    too_large = spark.sparkContext.accumulator(0)
+
+    def embedder():
+        def encode(some):
+            calls.add(1)
+            sizes.add(len(some))
+            too_large.add(int(len(some) > 8 or len(some) * max(map(len, some)) > 200 and len(some) > 1))
+            return [[float(t.count("a")), float(len(t)), 1.0] for t in some]
+        return encode
+
+    frame = spark.createDataFrame(rows, "k int, l string, r string, _text string")
+    got = {r["k"]: r for r in relatedness.embedding_relatedness(frame, F.col("l"), F.col("r"), embedder, batch_texts=8, batch_chars=200).collect()}
+    assert sizes.value == len({t for _, l, r, _ in rows for t in (l, r or "")}) and too_large.value == 0 and calls.value > 5
+
+    def vector(t):
+        return [t.count("a"), len(t), 1.0]
+
+    for k, l, r, x in rows:
+        a, b = vector(l), vector(r or "")
+        want = sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5
+        assert abs(got[k]["similarity_score"] - want) < 1e-6 and (got[k]["l"], got[k]["r"], got[k]["_text"]) == (l, r, x)
+    assert len(got) == len(rows)
+
+
+def test_mini_batches():
+    assert list(relatedness.mini_batches([], 4, 10)) == []
+    assert list(relatedness.mini_batches([1, 2, 3, 4, 50, 1], 3, 9)) == [(0, 3), (3, 4), (4, 5), (5, 6)]

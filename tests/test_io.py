@@ -132,6 +132,26 @@ def test_write_slices(spark, tmp_path):
     assert [r["count"] for r in back.groupBy("part").count().orderBy("part").collect()] == [4] * 5
 
 
+def test_slices_are_single_files_within_the_limit(spark, tmp_path):
+    """Bytes of quotes, line breaks and letters beyond ASCII count as they stand in the file; rows stand in order."""
+    texts = ['a "b"', "é\n\t\\", "\u3000\U0001f600", None, "x" * 300]
+    rows = [("s/1" if i % 3 else "s 2", i, texts[i % 5]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "source string, ord bigint, text string").repartition(7)
+    writers.write_slices(frame, str(tmp_path / "s"), limit=200)
+    files = writers.slice_files(spark, str(tmp_path / "s")).collect()
+    found = {(r["source"], r["part"]): (r["files"], r["bytes"]) for r in files}
+    assert {n for n, _ in found.values()} == {1} and {s for s, _ in found} == {"s/1", "s 2"}
+    ends = {}
+    for file in sorted((tmp_path / "s").glob("*/*/*.json"), key=lambda f: (f.parent.parent.name, int(f.parent.name.split("=")[1]))):
+        lines = file.read_bytes().splitlines()
+        assert file.stat().st_size <= 200 or len(lines) == 1
+        for line in lines:
+            at = json.loads(line)["ord"]
+            assert at > ends.get(file.parent.parent, -1)
+            ends[file.parent.parent] = at
+    assert sum(b for _, b in found.values()) == sum(f.stat().st_size for f in (tmp_path / "s").glob("*/*/*.json"))
+
+
 def test_reports(spark, tmp_path):
     metrics = spark.createDataFrame([(2, "Rate", 0.5), (1, "Corr", None)], "line_no int, metric string, value double")
     assert [r.line for r in reports.report(metrics).collect()] == ["Corr: nan", "Rate: 0.5000"]

@@ -188,3 +188,25 @@ def test_sampling_trims_groups_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("source"), "id")
     plan = sampling.sample_n(df, "id", 50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("block_rows", [3, 100, 65_536])
+def test_next_value_over_gaps(spark, block_rows):
+    draw = np.random.default_rng(2)
+    values = sorted({int(x) for x in draw.integers(-5_000, 5_000, 300)} | {10**15})
+    frame = spark.createDataFrame([(x,) for x in draw.permutation(values).tolist()], "k bigint")
+    got = {r["k"]: r["next"] for r in ordering.next_value(frame, "k", block_rows=block_rows).collect()}
+    assert got == dict(zip(values, values[1:] + values[:1]))
+    one = spark.createDataFrame([(7,)], "k bigint")
+    assert [tuple(r) for r in ordering.next_value(one, "k").collect()] == [(7, 7)]
+    assert ordering.next_value(one.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("blocks", [2, 16, 1024])
+def test_numbered_texts(spark, blocks):
+    """Texts that share a long beginning, and few of them."""
+    texts = [f"{'id ' * 20}{i:05d}" for i in range(700)] + ["a", "zz", ""]
+    frame = spark.createDataFrame([(t,) for t in reversed(texts)], "error string")
+    got = {r["error"]: r["number"] for r in ordering.numbered(frame, "error", blocks=blocks).collect()}
+    assert got == {t: i for i, t in enumerate(sorted(texts), 1)}
+    assert ordering.numbered(frame.limit(0), "error", blocks=blocks).count() == 0
