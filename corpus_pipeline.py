@@ -29,15 +29,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.representatives(docs)
 
 
+#: Most digests of 16 bytes that are sent to every task.
+SENT = 1 << 19
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window. What a document holds depends on its text alone, so texts are
     known by their digest, and rows without id are judged like any other. The columns go by number meanwhile, so their
-    names may hold anything; the digests to drop are written first, so that Spark measures them before it picks the join."""
+    names may hold anything. The digests to drop are counted: up to ``SENT`` go to the documents, beyond that both are shuffled."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = F.col(f"c{docs.columns.index('text')}")
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest")
-    found = decontaminate.contamination(plain.select(digest, text.alias("text")), read(spark, sf_dir, "benchmark"), key="digest")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    found = decontaminate.contamination(plain.select(digest.alias("digest"), text.alias("text")), read(spark, sf_dir, "benchmark"), key="digest")
     bad = written(found.where("n_hit > 0").select("digest").distinct())
+    if bad.count() <= SENT:
+        bad = F.broadcast(bad)
     return plain.join(bad, digest == bad["digest"], "left_anti").toDF(*docs.columns)
 
 
