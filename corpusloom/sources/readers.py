@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -75,37 +77,41 @@ def read_table(
     """CSV files with a header as ``source, <schema>``, without the datasets named in ``skip``.
 
     The header of every file is compared with the schema, blanks around names aside: a file whose columns differ or stand
-    in another order stops the job (``on_header="raise"``) or is left out (``"skip"``).  ``on_bad``: ``drop`` leaves out
-    rows that do not fit the schema, whichever columns are selected later, ``keep`` fills their missing fields with null,
+    in another order raises at once (``on_header="raise"``, one job over the files' first ranges, of which one row comes back)
+    or is left out (``"skip"``).  No list of files passes through the driver.  ``on_bad``: ``drop`` leaves out rows that do
+    not fit the schema, whichever columns are selected later, ``keep`` fills their missing fields with null,
     ``fail`` stops the job.  ``multi_line=True`` allows line breaks inside fields, but then a file cannot be split.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     corrupt = "_corrupt_record"
-    found = header_files(spark, path, fields.names)
-    if on_header == "raise" and (wrong := sorted(f for f, right in found if not right)):
-        raise ValueError(f"header differs from {', '.join(fields.names)}: {', '.join(wrong)}")
-    files = [f for f, right in found if right]
-    if not files:
-        return spark.createDataFrame([], T.StructType([T.StructField("source", T.StringType()), *fields.fields]))
     frame = (
         spark.read.schema(T.StructType([*fields.fields, T.StructField(corrupt, T.StringType())])).option("header", True)
         .option("mode", "FAILFAST" if on_bad == "fail" else "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
-        .option("multiLine", multi_line).option("quote", '"').option("escape", escape).csv(files)
-    )
+        .option("multiLine", multi_line).option("quote", '"').option("escape", escape).option("pathGlobFilter", "*.csv").csv(path)
+    ).withColumn("_file", F.col("_metadata.file_path"))
+    wrong = header_files(spark, path, fields.names, escape).where("NOT right").select(F.col("file").alias("_file"))
+    if on_header == "raise":
+        first = wrong.agg(F.min("_file").alias("file"), F.count(F.lit(1)).alias("n")).first()  # one row, however many files
+        if first["n"]:
+            raise ValueError(f"header differs from {', '.join(fields.names)}: {first['file']} and {first['n'] - 1} others")
+    else:
+        frame = frame.join(F.broadcast(wrong), "_file", "left_anti")  # a path for each wrong file
     if on_bad != "keep":  # always true, but it reads every column, so that none is pruned and each row is checked whole
         frame = frame.where(F.col(corrupt).isNull() & (F.xxhash64(*[f"`{c}`" for c in fields.names]) >= F.lit(-(1 << 63))))
-    named = frame.select(dataset_name(file_name()).alias("source"), *[f"`{c}`" for c in fields.names])
+    named = frame.select(dataset_name(file_name(F.col("_file"))).alias("source"), *[f"`{c}`" for c in fields.names])
     return named.where(~F.col("source").isin(*skip)) if skip else named
 
 
-def header_files(spark: SparkSession, path: str, names: Sequence[str]) -> list[tuple[str, bool]]:
-    """CSV files below ``path`` and whether their first line holds ``names`` in this order (one row per file)."""
+def header_files(spark: SparkSession, path: str, names: Sequence[str], escape: str = '"') -> DataFrame:
+    """``file, right``: CSV files below ``path`` and whether their first line holds ``names`` in this order."""
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
     first = lines.where(F.col("_metadata.file_block_start") == 0).select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\A\x{feff}", "").alias("value")
     ).groupBy("file").agg(F.min_by("value", "at").alias("value"))
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '\\A"|"\\z', "")))
-    return [(r["file"], r["right"]) for r in first.select("file", (cells == F.array(*map(F.lit, names))).alias("right")).collect()]
+    wanted = ", ".join(f"c{i} string" for i in range(len(names) + 1))  # one more, to see what is too much
+    cells = F.from_csv("value", wanted, {"quote": '"', "escape": escape, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    same = [F.trim(cells[f"c{i}"]).eqNullSafe(F.lit(name)) for i, name in enumerate(names)]
+    return first.select("file", (reduce(and_, same, cells[f"c{len(names)}"].isNull())).alias("right"))
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:

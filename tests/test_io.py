@@ -189,6 +189,20 @@ def test_csv_header_is_enforced(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path), "other string", on_header="skip").count() == 0
 
 
+def test_csv_headers_of_many_files(spark, tmp_path):
+    """Names with separators and quotes, blanks around them, a name too few or too many, an empty file."""
+    schema = "`a, b` string, `c \"d\"` int"
+    headers = {"plain": '"a, b","c ""d"""', "blank": ' "a, b" , "c ""d""" ', "few": '"a, b"', "many": '"a, b","c ""d""",e', "split": 'a, b,"c ""d"""', "case": '"A, b","c ""d"""'}
+    for i in range(40):
+        for name, header in headers.items():
+            (tmp_path / f"{name}{i}.csv").write_text(f'{header}\n"x, {i}",{i}\n')
+    (tmp_path / "empty.csv").write_text("")
+    got = readers.read_table(spark, str(tmp_path), schema, on_header="skip").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"{name}{i}", f"x, {i}", i) for name in ("plain", "blank") for i in range(40))
+    with pytest.raises(ValueError, match="case0.csv and 159 others"):
+        readers.read_table(spark, str(tmp_path), schema)
+
+
 def test_csv_bad_rows_go_whatever_is_selected(spark, tmp_path):
     (tmp_path / "t.csv").write_text("question,answer\nq1,1\nbad,x\nq2,2\n")
     got = readers.read_table(spark, str(tmp_path), "question string, answer int")
