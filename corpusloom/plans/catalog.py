@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import classify as cl
 from ..functions import text as tx
-from ..operators import compare, crosstab, extract, grouping, ordering, outcomes, relatedness, repair, sampling, slicing, topics
+from ..operators import compare, crosstab, extract, grouping, ordering, outcomes, relatedness, repair, sampling, slicing, tagger, topics
 from ..sources import arrays, readers, reports, writers
 from ..sources.shared import shared_path
 from . import views as v
@@ -349,6 +349,24 @@ def entity_topics(spark, sf):
     )
 
 
+@query
+def title_entities(spark, sf):
+    """Titles found in documents by a dictionary: the capitalised runs of the benchmark items, longest match first."""
+    items = v.table(spark, sf, "benchmark").select(F.explode(topics.entities(topics.tag_entities(F.col("text")))).alias("title"))
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    found = tagger.dictionary_entities(docs, "text", items)
+    return found.select("doc_id", F.size("entities").cast("bigint").alias("num_entities"), topics.entities_text(F.col("entities")).alias("entities"))
+
+
+@query
+def fitted_topics(spark, sf):
+    """Documents scored by term weights fitted on their languages."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    weights = topics.fit_topic_weights(docs, "text", "lang", LANGS)
+    ranked = topics.fitted_scores(docs, "doc_id", "text", weights, LANGS).withColumn("topics", topics.top_labels(F.col("scores"), len(LANGS), 6))
+    return topics.flatten_top(ranked, k=len(LANGS)).drop("scores", "topics")
+
+
 # --- predictor comparison -----------------------------------------------------------------------------
 
 

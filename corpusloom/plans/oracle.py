@@ -641,4 +641,30 @@ ORACLES: dict[str, str] = {
     "text_lines": f"""WITH {EXAMPLES}, flat AS (SELECT {strip(one_line('question'))} AS value FROM examples)
       SELECT value, count(*) AS n FROM flat WHERE value <> '' GROUP BY value""",
     "table_rows": f"WITH {QA} SELECT ord, question, answer FROM qa",
+    "fitted_topics": f"""WITH words AS (SELECT doc_id, lang, unnest({tokens('text')}) AS term FROM documents),
+      labels AS (SELECT * FROM (VALUES {', '.join(f"('{name}', {i})" for i, name in enumerate(cat.LANGS))}) l(lang, i)),
+      inside AS (SELECT term, lang, count(*)::DOUBLE AS n FROM words WHERE lang IN (SELECT lang FROM labels) GROUP BY ALL),
+      terms AS (SELECT term, sum(n) AS n FROM inside GROUP BY term),
+      sizes AS (SELECT lang, i, coalesce(sum(n), 0) AS n FROM labels LEFT JOIN inside USING (lang) GROUP BY ALL),
+      whole AS (SELECT count(*)::DOUBLE AS v, sum(n) AS n FROM terms),
+      weights AS (SELECT term, s.lang, i, ln((coalesce(c.n, 0) + 1) / (s.n + v)) - ln((t.n - coalesce(c.n, 0) + 1) / (whole.n - s.n + v)) AS w
+        FROM terms t CROSS JOIN sizes s CROSS JOIN whole LEFT JOIN inside c USING (term, lang)),
+      means AS (SELECT doc_id, weights.lang, i, avg(w) AS m FROM words JOIN weights USING (term) GROUP BY ALL),
+      scored AS (SELECT d.doc_id, l.lang AS label, l.i, 1 / (1 + exp(-coalesce(m, 0))) AS score
+        FROM documents d CROSS JOIN labels l LEFT JOIN means ON means.doc_id = d.doc_id AND means.i = l.i),
+      r AS (SELECT doc_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rk FROM scored)
+      SELECT doc_id, {', '.join(f"max(label) FILTER (rk = {k}) AS top_{k}_topic, max(score) FILTER (rk = {k}) AS top_{k}_score" for k in range(1, len(cat.LANGS) + 1))}
+      FROM r GROUP BY doc_id""",
+    "title_entities": rf"""WITH RECURSIVE titles AS (SELECT DISTINCT unnest({_ENTITY}) AS title FROM benchmark),
+      cut AS (SELECT doc_id, text, title, string_split(text, title) AS p FROM documents JOIN titles ON contains(text, title)),
+      places AS (SELECT doc_id, text, title, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(title))::BIGINT AS start
+        FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cut)),
+      framed AS (SELECT doc_id, title, start, start + length(title) AS stop FROM places
+        WHERE NOT (start > 0 AND regexp_matches(substring(text, start, 1), '[\p{{L}}\p{{N}}_]'))
+          AND NOT regexp_matches(substring(text, start + length(title) + 1, 1), '[\p{{L}}\p{{N}}_]')),
+      chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC) AS rk FROM framed) WHERE rk = 1
+        UNION ALL SELECT doc_id, title, start, stop, rk FROM (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.start, f.stop DESC) AS rk
+          FROM chosen c JOIN framed f ON f.doc_id = c.doc_id AND f.start >= c.stop) WHERE rk = 1)
+      SELECT doc_id, count(title) AS num_entities, coalesce(string_agg(title, ', ' ORDER BY start), '') AS entities
+      FROM documents LEFT JOIN chosen USING (doc_id) GROUP BY doc_id""",
 }
