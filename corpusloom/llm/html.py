@@ -181,7 +181,7 @@ class Page:
         return out
 
 
-#: Labelled pages, authored: content is marked by data-main.
+#: Labelled pages of other layouts, authored: content is marked by data-main.
 LABELLED = [
     # an article between navigation, notice, advert and footer
     '<html><head><title>t</title><script>x</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>'
@@ -199,7 +199,7 @@ LABELLED = [
     '<form class="comment-form"><label>Your name</label><textarea>Write here</textarea><button>Send</button></form></section>'
     '<footer class="footer"><div><p>Contact us by letter or by phone during the usual hours.</p></div></footer></body>',
     # no semantic elements, only classes
-    '<div id="page"><div id="header" class="header"><h1>My Weblog</h1><p>Notes on almost everything</p></div><div class="nav"><a>Home</a> <a>About</a></div>'
+    '<div id="page" data-main><div id="header" class="header"><h1>My Weblog</h1><p>Notes on almost everything</p></div><div class="nav"><a>Home</a> <a>About</a></div>'
     '<div id="main" data-main><div class="post entry" data-main><h2 data-main>On walking</h2><div class="post-content body text" data-main><p data-main>Walking is the slowest way to think and for that reason it may well be the best one that we have.</p>'
     '<p data-main>I walk every morning.</p><pre data-main>left right left</pre><table data-main><tr data-main><td data-main>Day</td><td data-main>Steps</td></tr></table></div></div></div>'
     '<div class="share social"><a>Share this</a></div><div id="sidebar" class="widget"><p>Older posts of this weblog can be found in the archive by month.</p></div>'
@@ -250,6 +250,60 @@ LABELLED = [
 ]
 
 
+#: Labelled pages of ordinary layouts: every chain of elements around the text, between every pair of surroundings.
+CHAINS = (
+    (), ("div",), ("div", "div"), ("div", "div", "div"), ("section",), ("div", "section"), ('div class="wrapper"',), ('div class="page"',), ("center",),
+    ('div id="container"', 'div class="row"', 'div class="col"'), ("table", "tr", "td"), ('div class="outer"', 'div class="inner"'),
+    ("article", 'div class="row"', 'div class="col"', "div"), ("main", "div"),
+)
+SURROUNDINGS = (
+    ("", ""),
+    ("<ul><li><a>Home</a></li><li><a>News</a></li></ul>", '<div class="footer"><p>All rights kept by the owners of this page.</p></div>'),
+    ('<div class="menu"><a>One</a> <a>Two</a></div>', "<footer><p>Printed by the office of the town.</p></footer>"),
+    ('<nav><ul><li><a>Up</a></li></ul></nav><div class="banner ad"><p>Shoes at half the price, only today.</p></div>',
+     '<div class="sidebar"><p>More stories are found in the archive.</p></div>'),
+    ('<div class="sponsor-box"><p>This page is brought to you by the makers of fine boots and hats.</p></div>',
+     '<div class="comments"><p>What a fine page this is, I have read it twice already!</p></div>'),
+)
+OPENINGS = ("<body>", "<html><head><title>t</title></head><body>", "<html><body>")
+SENTENCES = (
+    "The ferry left the island at noon and came back with the mail an hour before dark.", "Nobody had expected the roof to hold for another winter, but it did.", "It rained.",
+    "She wrote down what the old men said about the river, the mill and the two bridges that had stood there before the war.",
+    "There were eleven of them, and each had brought something to eat.", "Why this was so is hard to say.",
+    "Most of the letters were lost, although a few turned up years later in a drawer of the town hall.",
+)
+
+
+def bodies() -> list[str]:
+    """Labelled texts: paragraphs in different numbers with and without a title, bare words, lists, divisions."""
+    out = []
+    for k in (1, 2, 3, 6, 14):
+        paragraphs = "".join(f"<p data-main>{SENTENCES[(k + i) % len(SENTENCES)]}</p>" for i in range(k))
+        out += [paragraphs, f"<h1 data-main>About the ferry</h1>{paragraphs}"]
+    items = "".join(f"<li data-main>{x}</li>" for x in (SENTENCES[1], f"<a>{SENTENCES[4]}</a>", "<a>Mail</a>"))
+    return [
+        f"{SENTENCES[0]} {SENTENCES[3]}", f"<h2 data-main>Notes</h2><ul data-main>{items}</ul><p data-main>{SENTENCES[6]}</p>", *out,
+        "".join(f"<div data-main>{SENTENCES[i]}</div>" for i in (0, 3, 6)),
+    ]
+
+
+def laid_out(chain: tuple[str, ...], opening: str, around: tuple[str, str], body: str) -> str:
+    """A labelled page; a body that holds the text itself is content like any other element around it."""
+    begin = "".join(f"<{name} data-main>" for name in chain)
+    end = "".join(f"</{name.split()[0]}>" for name in reversed(chain))
+    return (opening if chain else opening.replace("<body>", "<body data-main>")) + around[0] + begin + body + end + around[1]
+
+
+def ordinary(chains: tuple[tuple[str, ...], ...] = CHAINS) -> list[str]:
+    """Two pages for each chain, opening and surroundings: of the bodies the first two in turn, and another."""
+    texts, out = bodies(), []
+    for i, chain in enumerate(chains):
+        for j, around in enumerate(SURROUNDINGS):
+            for k, opening in enumerate(OPENINGS):
+                out += [laid_out(chain, opening, around, texts[(i + j + k) % 2]), laid_out(chain, opening, around, texts[(i * 7 + j * 3 + k * 5) % len(texts)])]
+    return out
+
+
 class Model:
     """Log potentials counted from labelled pages."""
 
@@ -302,9 +356,15 @@ class Model:
         return out
 
 
+def training_pages(chains: tuple[tuple[str, ...], ...] = CHAINS) -> list[str]:
+    """The authored pages count three times. Every chain but the empty one has an element around the text besides the body, so the
+    empty one counts ten times."""
+    return LABELLED * 3 + ordinary(((),) * 9 * (() in chains) + chains)
+
+
 @functools.lru_cache(maxsize=1)
 def trained() -> Model:
-    return Model([Page(p) for p in LABELLED])
+    return Model([Page(p) for p in training_pages()])
 
 
 def main_text(source: str | None, model: Model | None = None) -> str:
