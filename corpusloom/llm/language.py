@@ -79,7 +79,7 @@ def gram_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 codes, counts = merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
