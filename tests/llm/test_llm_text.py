@@ -251,3 +251,43 @@ def test_peeling_recovers_what_differs(pairs):
     size = len(pairs)
     found = fingerprints.differences(one, two, fingerprints.stored(one, size), fingerprints.stored(two, size))
     assert found.tolist() == [len(a ^ b) for a, b in pairs]
+    texts = [fingerprints.stored(d, size).texts() for d in (one, two)]
+    for i, pair in enumerate(pairs):
+        a, b = ({*fingerprints.mixed(np.array(sorted(p), np.uint64), 5).tolist()} for p in pair)
+        only_one, only_two, complete = fingerprints.decode(texts[0][i], texts[1][i])
+        assert {*only_one} <= a - b and {*only_two} <= b - a
+        assert complete == (({*only_one}, {*only_two}) == (a - b, b - a))
+
+
+def test_stored_fingerprints_decode(spark):
+    """What two stored fingerprints differ in, without the texts: nearly all of small edits, of edits of half a text
+    about two thirds (69 % of 3,000 documents at sf0.1)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = fingerprints.version_fingerprints(docs)
+    found = {r["doc_id"]: r for r in fingerprints.decoded(made, "doc_id").collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    keys = sorted(texts, reverse=True)
+    complete = 0
+    for i, key in enumerate(keys):
+        version = fingerprints.edited(texts[key], texts[keys[(i + 1) % len(keys)]])
+        a, b = ({*fingerprints.digests([t])[0].view(np.int64).tolist()} for t in (texts[key], version))
+        r = found[key]
+        assert {*r["only_one"]} <= a - b and {*r["only_two"]} <= b - a
+        if r["complete"]:
+            assert ({*r["only_one"]}, {*r["only_two"]}) == (a - b, b - a)
+        complete += r["complete"]
+    assert complete > 0.6 * len(keys)
+    small = [(t, t.replace(" ", " added ", 1)) for t in texts.values() if len(t.split()) > 60]
+    prints = [fingerprints.stored(fingerprints.digests(side), len(small)).texts() for side in map(list, zip(*small))]
+    done = [fingerprints.decode(a, b)[2] for a, b in zip(*prints)]
+    assert sum(done) > 0.99 * len(done)
+    nothing = spark.createDataFrame([(1, None, None)], "k int, fingerprint string, edited_fingerprint string")
+    assert fingerprints.decoded(nothing, "k").first()[1:] == ([], [], True)
+
+
+def test_paragraphs_are_lines_and_sentences():
+    found, row = fingerprints.paragraphs(["One two. Three\nfour five!\n\n six", "", "\u4e00\u3002 \u4e8c"])
+    assert found == [b"One two.", b"Three", b"four five!", b"six", "\u4e00\u3002".encode(), "\u4e8c".encode()]
+    assert row.tolist() == [0, 0, 0, 0, 2, 2]
+    long, _ = fingerprints.paragraphs([" ".join(f"w{i}" for i in range(1000))])
+    assert max(len(p.split()) for p in long) <= fingerprints.WORDS and b" ".join(long).count(b"w") == 1000
