@@ -3,7 +3,7 @@
 A text is cut into paragraphs: lines, cut further after sentences; a run of over ``LONG`` words without a sentence mark is cut
 after words chosen by their last bytes, and after ``WORDS`` words at the latest. So equal passages are cut alike wherever they
 stand. The digest of each paragraph (with its number among equal ones) is added to three cells of a table of counts, key sums
-and check sums. A third of a table has a power of two of cells, at least half the number of paragraphs, so a larger table
+and check sums. A third of a table has a power of two of cells, at least half the number of paragraphs and ``LEAST``, so a larger table
 folds to the size of a smaller one. Tables of two versions subtract cell by cell; peeling cells that hold one key recovers
 the digests that differ. If that fails, the number of differences is estimated from the counts that are left, and tables of
 that size, with other places, are built from the digests, doubling until it succeeds. The likeness of two versions is the
@@ -38,6 +38,8 @@ from corpusloom.operators.ordering import _add_value_blocks
 
 #: Words of a paragraph without a sentence mark before it is cut, at the earliest and at the latest; bytes of text in a block.
 LONG, WORDS, BLOCK = 16, 48, 1 << 20
+#: Cells of the least third of a stored fingerprint, a power of two.
+LEAST = 8
 #: Rows of the sample that cuts the order into ranges, for each range.
 SAMPLED = 20
 #: A cell of a stored fingerprint.
@@ -180,7 +182,7 @@ class Tables:
 
 def read_back(prints: list[str | None]) -> Tables:
     """The tables of stored fingerprints; null is the table of an empty text."""
-    cells = [np.frombuffer(base64.b64decode(p), CELL) if p else np.zeros(3, CELL) for p in prints]
+    cells = [np.frombuffer(base64.b64decode(p), CELL) if p is not None else np.zeros(3 * LEAST, CELL) for p in prints]
     out = Tables(np.array([len(c) // 3 for c in cells], np.int64))
     if cells:
         whole = np.concatenate(cells)
@@ -198,7 +200,7 @@ def powers(n: np.ndarray) -> np.ndarray:
 
 def stored(one: Digests, size: int) -> Tables:
     """The tables that serve as fingerprints; their size follows from the text's own paragraphs."""
-    return Tables(powers(np.bincount(one[1], minlength=size) / 2)).add(*one)
+    return Tables(powers(np.maximum(np.bincount(one[1], minlength=size) / 2, LEAST))).add(*one)
 
 
 def difference(first: Tables, second: Tables) -> Tables:
