@@ -18,12 +18,16 @@ SALTS = 256
 def smallest_per_group(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group in ``order``, with their 1-based ``_rank``.
 
-    The group is cut in salted sub-groups first, so no task ranks a whole hot group; the second stage sees at most
-    ``n`` rows of each sub-group.
+    The smallest rows merge: every task keeps its own first ``n`` of a group before anything is shuffled, these are cut again
+    among every ``SALTS``-th task, and what is left of a group, ``n`` rows for each salt at most, once more. So the
+    shuffles carry ``n`` rows for each task and group, however many rows a group has (for ``n`` up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; beyond that the result is the same, but whole groups are shuffled).
     """
     part = Window.partitionBy(by, "_salt").orderBy(*order)
+    # The salt is one for all rows of a task, so Spark's limit on ranks below the shuffle leaves n rows of a group in it.
+    # It decides where rows meet, not which are kept.
     trimmed = (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part))
+        df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part))
         .where(F.col("_rank") <= n).drop("_salt", "_rank")
     )
     whole = Window.partitionBy(by).orderBy(*order)

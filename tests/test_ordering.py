@@ -184,6 +184,25 @@ def test_quota_sample(spark, total):
     assert [r["id"] for r in got.collect()] == quota_reference(groups, {"a": 15, "b": 15}, 14, total)
 
 
+def test_samples_shuffle_in_proportion_to_groups(spark):
+    """Ten rows of each task and group are shuffled, then ten of each salt and group; never the groups."""
+    df = spark.range(0, 30_000, 1, 6).select("id", (F.col("id") % 3).cast("string").alias("source"))
+    picked = sampling.smallest_per_group(df, "source", [F.md5(F.col("id").cast("string")), F.col("id")], 10)
+    sc = spark.sparkContext
+    sc.setJobGroup("samples", "samples")
+    try:
+        got = picked.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("samples") for s in tracker.getJobInfo(job).stageIds}
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
+    assert len(got) == 30 and 0 < shuffled <= 2 * 6 * 3 * 10
+    want = sorted(range(30_000), key=lambda i: md5(str(i).encode()).hexdigest())
+    for name in "012":
+        assert [r["id"] for r in sorted(got, key=lambda r: r["_rank"]) if r["source"] == name] == [i for i in want if i % 3 == int(name)][:10]
+
+
 def test_sampling_trims_groups_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("source"), "id")
     plan = sampling.sample_n(df, "id", 50)._jdf.queryExecution().executedPlan().toString()
