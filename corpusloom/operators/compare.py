@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.shared import kept
 from .ordering import average_ranks
 
 TOP = 3
@@ -169,13 +170,17 @@ def kendall(a: str = "topics_a", b: str = "topics_b", compat: bool = False) -> C
 
 
 def comparison(df: DataFrame) -> DataFrame:
-    """Metric rows of a predictor comparison: ``line_no, metric, value``."""
+    """Metric rows of a predictor comparison: ``line_no, metric, value``.
+
+    ``df`` is read twice: for the plain aggregates, and for the two score columns, which are written once, as the ranks
+    behind the Spearman correlation read them again for cut points, blocks and pairs.
+    """
     one = df.agg(
         agreement().alias("agreement"),
         overlap().alias("overlap"),
         pearson(_top(F.col("topics_a"))["score"], _top(F.col("topics_b"))["score"]).alias("pearson"),
         kendall().alias("kendall"),
-    ).withColumn("spearman", spearman(score_pairs(df)).scalar())
+    ).withColumn("spearman", spearman(kept(score_pairs(df), "scores")).scalar())
     # Metric names of the comparison report, in order.
     lines = [
         ("Top 1 Topic Agreement Rate", "agreement"), ("Top 3 Topic Overlap Rate", "overlap"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
+from ..sources.shared import kept
 from .ordering import exact_quantiles, running_index
 
 ALL_FILES = "ALL_FILES"
@@ -145,8 +146,11 @@ def _with_pooled(df: DataFrame, by: str, x: str, pooled: bool) -> DataFrame:
 
 
 def score_summary(df: DataFrame, by: str = "source", x: str = "similarity_score", pooled: bool = True) -> DataFrame:
-    """Mean, median, sample standard deviation, min, max and count per dataset, plus a pooled row."""
-    rows = _with_pooled(df, by, x, pooled)
+    """Mean, median, sample standard deviation, min, max and count per dataset, plus a pooled row.
+
+    Names and scores are written once: moments, cut points and blocks each read them.
+    """
+    rows = _with_pooled(kept(df.select(by, x), "scores"), by, x, pooled)
     moments = rows.groupBy(by).agg(
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.count(F.lit(1)).alias("count"),
@@ -159,8 +163,9 @@ def box_stats(df: DataFrame, by: str = "source", x: str = "similarity_score") ->
     """Quartiles and 1.5 IQR whiskers per dataset; values beyond the whiskers are outliers.
 
     The quartiles are one row per dataset, so the scan for the whiskers joins a side that adaptive execution broadcasts.
+    Names and scores are written once: cut points, blocks and whiskers each read them.
     """
-    rows = _with_pooled(df, by, x, pooled=False)
+    rows = _with_pooled(kept(df.select(by, x), "scores"), by, x, pooled=False)
     quartiles = exact_quantiles(rows, [by], x, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/corpusloom-{kind}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, kind: str = "kept") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: worked out once, however often it is read."""
+    spark = df.sparkSession
+    path = shared_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
