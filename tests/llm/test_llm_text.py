@@ -259,9 +259,24 @@ def test_peeling_recovers_what_differs(pairs):
         assert complete == (({*only_one}, {*only_two}) == (a - b, b - a))
 
 
+def test_versions_follow_each_other_across_many_ranges(spark):
+    """More ranges than fit, and one document that is a third of all rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(7)
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(docs.where("doc_id = 5").select(F.explode(F.array_repeat(F.struct("doc_id", "text"), 100)).alias("r")).select("r.*"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: -r[0])
+    want = [(k, hashlib.sha256(fingerprints.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(rows)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.version_fingerprints(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == sorted(want)
+
+
 def test_stored_fingerprints_decode(spark):
     """What two stored fingerprints differ in, without the texts: nearly all of small edits, of edits of half a text
-    about two thirds (69 % of 3,000 documents at sf0.1)."""
+    about four fifths (80 % of 3,000 documents at sf0.1)."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     made = fingerprints.version_fingerprints(docs)
     found = {r["doc_id"]: r for r in fingerprints.decoded(made, "doc_id").collect()}
@@ -276,7 +291,7 @@ def test_stored_fingerprints_decode(spark):
         if r["complete"]:
             assert ({*r["only_one"]}, {*r["only_two"]}) == (a - b, b - a)
         complete += r["complete"]
-    assert complete > 0.6 * len(keys)
+    assert complete > 0.7 * len(keys)
     small = [(t, t.replace(" ", " added ", 1)) for t in texts.values() if len(t.split()) > 60]
     prints = [fingerprints.stored(fingerprints.digests(side), len(small)).texts() for side in map(list, zip(*small))]
     done = [fingerprints.decode(a, b)[2] for a, b in zip(*prints)]
