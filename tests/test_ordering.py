@@ -148,6 +148,28 @@ def test_slicing_of_single_row_parts_finds_every_part(spark):
     assert got.where("part = ord + 1").count() == 5000
 
 
+def test_slicing_when_joins_are_broadcast_while_they_run(spark):
+    """Many input tasks, and joins that are planned with a shuffle and found to be small: no run of rows comes in pieces."""
+    df = spark.range(0, 3_000, 1, 11).select(
+        F.concat(F.lit("s"), F.col("id") % 5).alias("source"), F.col("id").alias("ord"), (F.xxhash64("id") % 9 + 9).alias("n")
+    )
+    before = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "32k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    try:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        got = slicing.slice_by_size(df, F.col("n"), 40, block_rows=200).orderBy("ord").collect()
+    finally:
+        for key in before:
+            spark.conf.unset(key)
+    assert [r["ord"] for r in got] == list(range(3_000))
+    for i in range(5):
+        rows = got[i::5]
+        assert [r["part"] for r in rows] == greedy([r["n"] for r in rows], 40)
+
+
 def order_of(key, seed=42):
     return md5(f"{seed}:{key}".encode()).hexdigest()
 
