@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import statistics
 
 import pytest
@@ -118,6 +119,26 @@ def test_token_relatedness_adds_up_segments(spark):
     assert scores[0] == pytest.approx(scores[1]) == pytest.approx(3 / (5 ** 0.5 * 6 ** 0.5))
 
 
+def test_text_relatedness_inside_a_row(spark):
+    """Bit for bit the score by key and term: repeats, letters beyond ASCII, no common term, empty and null texts, a long text."""
+    draw = random.Random(7)
+    words = ["a", "A", "b", "été", "Été", "日本", "_x", "1", "zz"]
+    texts = [" ".join(draw.choices(words, k=n)) for n in (1, 2, 5, 40, 3000)] + ["", None, "!!", "q r s"]
+    frame = spark.createDataFrame([(i * 9 + j, l, r) for i, l in enumerate(texts) for j, r in enumerate(texts)], "k int, l string, r string")
+    got = {r.k: r.s for r in frame.select("k", relatedness.text_relatedness(F.col("l"), F.col("r")).alias("s")).collect()}
+    want = {r.k: r.similarity_score for r in relatedness.token_relatedness(frame, ["k"], F.col("l"), F.col("r")).collect()}
+    assert got == want and len(got) == 81 and 0 < sum(x > 0 for x in got.values()) < 81
+
+
+def test_document_relatedness_shuffles_texts_not_terms(spark):
+    """One row a document from its two texts; no aggregate over (document, term) pairs, whose size is that of all texts."""
+    from corpusloom.plans.catalog import QUERIES
+
+    for name in ("relatedness_text", "relatedness_text_english"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "_term" not in plan and "Join" not in plan
+
+
 def test_token_relatedness_of_empty_text_is_zero(spark):
     df = spark.createDataFrame([(1, "", "x"), (2, None, None)], "k int, l string, r string")
     got = relatedness.token_relatedness(df, ["k"], F.col("l"), F.col("r")).collect()

@@ -251,3 +251,15 @@ def test_numbered_texts(spark, blocks):
     got = {r["error"]: r["number"] for r in ordering.numbered(frame, "error", blocks=blocks).collect()}
     assert got == {t: i for i, t in enumerate(sorted(texts), 1)}
     assert ordering.numbered(frame.limit(0), "error", blocks=blocks).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 64, 1024])
+def test_with_next_over_gaps(spark, blocks):
+    rng = random.Random(blocks)
+    keys = sorted(rng.sample(range(-500, 500), 90) + [rng.randrange(1 << 62) for _ in range(40)])
+    frame = spark.createDataFrame([(k, f"t{k}") for k in keys] + [(None, "none")], "k bigint, text string").repartition(7)
+    got = {r["k"]: (r["text"], r["next_text"]) for r in ordering.with_next(frame, "k", ["text"], blocks).collect()}
+    assert got == {k: (f"t{k}", f"t{n}") for k, n in zip(keys, keys[1:] + keys[:1])}
+    one = frame.where(F.col("k") == keys[0])
+    assert [tuple(r) for r in ordering.with_next(one, "k", ["text"], blocks).collect()] == [(keys[0], f"t{keys[0]}", f"t{keys[0]}")]
+    assert ordering.with_next(frame.limit(0), "k", ["text"], blocks).count() == 0
