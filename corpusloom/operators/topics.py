@@ -96,11 +96,12 @@ def fit_topic_weights(df: DataFrame, text: str, label: str, labels: Sequence[str
     """Fitted term weights ``term, weights``: for each label the smoothed log-odds of the term inside it against all others.
 
     Terms are counted over whole texts with map-side combining; rows without one of ``labels`` are left out.  What is kept
-    is one array a term, and the totals are one row.
+    is one array a term, and the totals are one row.  The test for null, which a join on the term brings along, stands here,
+    so that totals and weights are the same shuffle, and texts are counted once.
     """
     names, n = list(labels), len(labels)
     known = df.where(F.col(label).isin(*names)).select(F.col(label).alias("_label"), F.explode(tx.tokens(F.col(text))).alias("term"))
-    counts = known.groupBy("term").agg(*[F.count_if(F.col("_label") == name).cast("double").alias(f"_{i}") for i, name in enumerate(names)])
+    counts = known.where(F.col("term").isNotNull()).groupBy("term").agg(*[F.count_if(F.col("_label") == name).cast("double").alias(f"_{i}") for i, name in enumerate(names)])
     totals = counts.agg(F.count(F.lit(1)).cast("double").alias("terms"), *[F.sum(f"_{i}").alias(f"n{i}") for i in range(n)])
     total = totals.agg(F.first(F.struct("*"))).scalar()
     mass = F.lit(float(smooth)) * total["terms"]
@@ -116,11 +117,11 @@ def fit_topic_weights(df: DataFrame, text: str, label: str, labels: Sequence[str
 def fitted_scores(df: DataFrame, key: str, text: str, weights: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``key, scores``: for each label the logistic of the mean weight of a text's known terms; 0.5 where it has none.
 
-    ``key`` is unique.  Counts per (text, term) meet the weights in one join on the term; a frequent term is a skewed key of
-    the larger side, which adaptive execution splits.
+    ``key`` is unique.  Terms are counted inside the row, and counts per (text, term) are shuffled once, to meet the weights in
+    one join on the term; a frequent term is a skewed key of the larger side, which adaptive execution splits.
     """
     n = len(labels)
-    terms = df.select(key, F.explode(tx.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    terms = df.select(key, F.inline(tx.term_counts(F.col(text)))).withColumnRenamed("n", "_n")
     sums = terms.join(weights, "term").groupBy(key).agg(
         F.sum("_n").alias("_all"), *[F.sum(F.col("_n") * F.get("weights", F.lit(i))).alias(f"_{i}") for i in range(n)])
     means = [F.coalesce(F.col(f"_{i}") / F.col("_all"), F.lit(0.0)) for i in range(n)]

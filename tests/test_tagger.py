@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import tagger, topics
 
 
@@ -44,6 +45,24 @@ def test_dictionary_entities(spark, most_bytes):
     assert tagger.dictionary_entities(frame, "text", known.limit(0)).where("size(entities) > 0").count() == 0
 
 
+def test_terms_are_counted_inside_the_row(spark):
+    texts = ["", None, "a", "b a b", "!?", "Été été x_1 X_1 " * 50, "日本 a 日本"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["c"] for r in frame.select("k", tx.term_counts(F.col("text")).alias("c")).collect()}
+    for k, text in enumerate(texts):
+        assert (got[k] and {r["term"]: r["n"] for r in got[k]} or {}) == Counter(re.findall(r"\w+", (text or "").lower()))
+
+
+def test_fitted_topics_shuffle_document_terms_once(spark):
+    """No shuffle for an aggregate over (document, term) before the join on the term."""
+    from corpusloom.plans.catalog import QUERIES
+
+    plan = QUERIES["fitted_topics"](spark, "/root/testdata/sf0.001")
+    plan.collect()
+    done = plan._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, term#\d+", done)
+
+
 def test_fitted_topic_weights(spark):
     rows = [(1, "a a b", "x"), (2, "b c", "y"), (3, "c c d", "y"), (4, "a d", None), (5, "q", "other"), (6, None, "x"), (7, "zzz", "x"), (8, "", "y")]
     frame = spark.createDataFrame(rows, "k int, text string, label string")
