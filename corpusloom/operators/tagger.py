@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bytes of titles in a shard.
 SHARD_BYTES = 1 << 24
+#: Texts that a worker turns into Python objects at a time.
+TEXTS = 256
 _WORD = re.compile(r"\w")
 MATCHES = "array<struct<start: int, end: int>>"
 
@@ -35,11 +37,11 @@ def _automaton(titles: tuple[str, ...]):
     return found
 
 
-def spans(text: str, titles: Sequence[str]) -> list[tuple[int, int]]:
-    """All places where a title stands between word boundaries, as (start, end)."""
+def spans(text: str, automaton) -> list[tuple[int, int]]:
+    """All places where a title stands between word boundaries, as (start, end); no automaton stands for no titles."""
     out = []
-    if text and titles:
-        for last, length in _automaton(tuple(titles)).iter(text):
+    if text and automaton is not None:
+        for last, length in automaton.iter(text):
             start, end = last + 1 - length, last + 1
             before = start and _WORD.match(text[start - 1]) and _WORD.match(text[start])
             after = end < len(text) and _WORD.match(text[end]) and _WORD.match(text[last])
@@ -71,8 +73,8 @@ def dictionary_entities(df: DataFrame, text: str, titles: DataFrame, title: str
     out = df.withColumn("_spans", F.array().cast(MATCHES))
     for shard in range(shards):
         held = known.where(F.pmod(F.xxhash64("title"), F.lit(shards)) == shard).collect()  # about most_bytes
-        out = _with_spans(out, text, sorted(r["title"] for r in held))
-    return _chosen(out, text, name)
+        out = _with_spans(out, text, sorted(r["title"] for r in held), name if shard == shards - 1 else None)
+    return out
 
 
 def _arrow(kind: T.StructType) -> pa.Schema:
@@ -81,37 +83,32 @@ def _arrow(kind: T.StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def _with_spans(df: DataFrame, text: str, titles: list[str]) -> DataFrame:
-    """Adds the spans of a shard's titles to ``_spans``."""
-    shared, schema = df.sparkSession.sparkContext.broadcast(titles), _arrow(df.schema)
+def _with_spans(df: DataFrame, text: str, titles: list[str], name: str | None) -> DataFrame:
+    """Adds the spans of a shard's titles to ``_spans``; with ``name``, for the last shard, the texts of the longest spans
+    stand in its place.  ``TEXTS`` rows at a time become Python objects and are passed on."""
+    shared = df.sparkSession.sparkContext.broadcast(titles)
     at, place = df.columns.index(text), df.columns.index("_spans")
+    kind = df.schema
+    if name is not None:
+        kind = T.StructType([*(f for f in kind.fields if f.name != "_spans"), T.StructField(name, T.ArrayType(T.StringType()))])
+    schema = _arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            rows = [
-                old + [{"start": s, "end": e} for s, e in spans(t or "", shared.value)]
-                for t, old in zip(columns[at].to_pylist(), columns[place].to_pylist())
-            ]
-            columns[place] = pa.array(rows, schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _chosen(df: DataFrame, text: str, name: str) -> DataFrame:
-    """The texts of the longest spans in place of ``_spans``."""
-    kept = [f for f in df.schema.fields if f.name != "_spans"]
-    kind = T.StructType([*kept, T.StructField(name, T.ArrayType(T.StringType()))])
-    schema, at, place = _arrow(kind), df.columns.index(text), df.columns.index("_spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                [t[s:e] for s, e in longest([(m["start"], m["end"]) for m in found])]
-                for t, found in zip(batch.column(at).to_pylist(), batch.column(place).to_pylist())
-            ]
-            columns = [c for i, c in enumerate(batch.columns) if i != place]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(pa.string()))], schema=schema)
+        automaton = _automaton(tuple(shared.value)) if shared.value else None
+        for whole in batches:
+            for begin in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(begin, TEXTS)
+                texts = batch.column(at).to_pylist()
+                found = [
+                    [(m["start"], m["end"]) for m in old] + spans(t, automaton) for t, old in zip(texts, batch.column(place).to_pylist())
+                ]
+                if name is None:
+                    rows, columns = [[{"start": s, "end": e} for s, e in f] for f in found], list(batch.columns)
+                    columns[place] = pa.array(rows, schema.field(place).type)
+                else:
+                    rows, columns = [[t[s:e] for s, e in longest(f)] for t, f in zip(texts, found)], list(batch.columns)
+                    del columns[place]
+                    columns.append(pa.array(rows, schema.field(len(columns)).type))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return df.mapInArrow(run, kind)

@@ -45,6 +45,15 @@ def test_dictionary_entities(spark, most_bytes):
     assert tagger.dictionary_entities(frame, "text", known.limit(0)).where("size(entities) > 0").count() == 0
 
 
+def test_titles_of_one_shard_are_found_in_one_pass(spark):
+    """One Python worker a task, and many of its pieces to an Arrow batch; rows stay in place."""
+    frame = spark.range(0, 1500, 1, 2).select("id", F.concat_ws(" ", F.lit("ab"), F.col("id"), F.lit("x")).alias("text"))
+    known = spark.createDataFrame([("ab 7",), ("ab",), ("x",)], "title string")
+    found = tagger.dictionary_entities(frame, "text", known)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["id"]: r["entities"] for r in found.collect()} == {i: ["ab 7" if i == 7 else "ab", "x"] for i in range(1500)}
+
+
 def test_terms_are_counted_inside_the_row(spark):
     texts = ["", None, "a", "b a b", "!?", "Été été x_1 X_1 " * 50, "日本 a 日本"]
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
